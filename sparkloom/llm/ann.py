@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .topk import clean_vectors, dense, grid
+from .topk import clean_vectors, dense, grid, joined
 
 
 @functools.cache
@@ -75,7 +75,7 @@ def nearest(table: DataFrame, is_query, k: int = 10, eps: float = 3.0, seed: int
         qid, cid = q["id"].to_numpy(np.int64), c["id"].to_numpy(np.int64)
         turn = rotation(dim, seed)
         codes, norm, fit = encode(cv, centre_all, turn)
-        found = []
+        own, ids, scores = [], [], []
         for i in range(len(qid)):
             low, high = distance_bounds(qv[i], codes, norm, fit, centre_all, turn, eps)
             other = cid != qid[i]
@@ -86,8 +86,10 @@ def nearest(table: DataFrame, is_query, k: int = 10, eps: float = 3.0, seed: int
             at = np.flatnonzero(other & (low <= line + 1e-9 * abs(line)))
             exact = np.sqrt(((cv[at] - qv[i]) ** 2).sum(1))
             best = np.lexsort((cid[at], exact))[:k]
-            found.append(pd.DataFrame({"query_id": qid[i], "id": cid[at][best], "score": exact[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            own.append(np.full(len(best), qid[i]))
+            ids.append(cid[at][best])
+            scores.append(exact[best])
+        return joined(query_id=own, id=ids, score=scores)
 
     found = grid(rows, is_query, query_block, candidate_block).groupBy("qb", "cb").applyInPandas(block, "query_id bigint, id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))

@@ -56,20 +56,30 @@ def select_best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def accumulate(query: np.ndarray, cand: np.ndarray) -> np.ndarray:
     """Scores[q, c] of integer weights, a term at a time over postings lists."""
-    scores = np.zeros((len(query), len(cand)), np.int64)
+    most = int(np.abs(query).max(initial=0)) * int(np.abs(cand).max(initial=0)) * query.shape[1]
+    kind = np.int32 if most < 1 << 31 else np.int64  # the narrowest that no score overflows
+    query, scores, part = query.astype(kind), np.zeros((len(query), len(cand)), kind), np.empty(len(cand), kind)
+    terms = []
     for t in range(query.shape[1]):
-        posted, asked = np.flatnonzero(cand[:, t]), np.flatnonzero(query[:, t])
-        if len(posted) == len(cand):
-            w = np.ascontiguousarray(cand[:, t])
-            for q in asked:
-                scores[q] += query[q, t] * w
-        else:
-            w = cand[posted, t]
-            for q in asked:
-                scores[q, posted] += query[q, t] * w
+        posted = np.flatnonzero(cand[:, t])
+        terms.append((None if len(posted) == len(cand) else posted, cand[posted, t].astype(kind)))
+    for q in range(len(query)):  # a query's scores stay in cache while its terms are scattered
+        row = scores[q]
+        for t in np.flatnonzero(query[q]).tolist():
+            posted, w = terms[t]
+            if posted is None:
+                np.multiply(w, query[q, t], out=part)
+                row += part
+            else:
+                row[posted] += query[q, t] * w
     return scores
 
 
+def joined(**columns: list[np.ndarray]) -> pd.DataFrame:
+    """One table of the arrays of each column; empty ones are integers."""
+    return pd.DataFrame({k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in columns.items()})
+
+
 def dense(vectors: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
@@ -86,14 +96,22 @@ def topk(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col: s
         width = int(pdf["vec"].map(len).max())
         weights = lambda x: np.floor(scale * dense(x["vec"], width)).astype(np.int64)
         qid, cid, qw, cw = q["id"].to_numpy(np.int64), c["id"].to_numpy(np.int64), weights(q), weights(c)
-        found = []
+        own, ids, best_scores = [], [], []
+        order = np.argsort(cid, kind="stable")
         for at in range(0, len(qid), 64):  # bounds the score array
             scores = accumulate(qw[at : at + 64], cw)
-            for i, s in enumerate(scores):
-                mine = cid != qid[at + i]
-                best = select_best(s[mine], cid[mine], k)
-                found.append(pd.DataFrame({"query_id": qid[at + i], "id": cid[mine][best], "score": s[mine][best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+            for i, row in enumerate(scores):
+                lo = int(np.searchsorted(cid, qid[at + i], sorter=order))
+                hi = int(np.searchsorted(cid, qid[at + i], "right", sorter=order))
+                if hi > lo:  # the query's own rows
+                    keep = np.delete(np.arange(len(cid)), order[lo:hi])
+                    best = keep[select_best(row[keep], cid[keep], k)]
+                else:
+                    best = select_best(row, cid, k)
+                own.append(np.full(len(best), qid[at + i]))
+                ids.append(cid[best])
+                best_scores.append(row[best].astype(np.int64))
+        return joined(query_id=own, id=ids, score=best_scores)
 
     rows = clean_vectors(table, id_col, vec_col)
     parts = grid(rows, is_query, query_block, candidate_block)
