@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -72,3 +73,24 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def write_shared(uri: str, data: bytes) -> None:
+    """Write a whole file in the shared folder at once; a retried task replaces it by the same content.
+
+    Folders without a scheme or with file: are written directly, others through Arrow's file systems.
+    """
+    if "://" in uri and not uri.startswith("file:"):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        store.create_dir(os.path.dirname(path), recursive=True)
+        with store.open_output_stream(path) as f:
+            f.write(data)
+        return
+    path = uri.removeprefix("file://").removeprefix("file:")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with open(part, "wb") as f:
+        f.write(data)
+    os.replace(part, path)

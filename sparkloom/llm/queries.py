@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import read_table
+from .idfiles import id_round_trip
+from .jaccard import jaccard_components
+from .language_id import fit, identify
 from .mixing import mix_sources
 from .packing import best_fit_pack
 from .token_counts import token_counts
 from .topk import topk
 from .url_filters import url_filters
+from .warc import warc_round_trip
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -22,6 +26,17 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    learn = docs.where(~held).select(F.col("doc_id").alias("id"), "text", "lang")
+    return identify(docs, fit(learn)).withColumn("held_out", F.coalesce(held, F.lit(False)))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), bpe_path())
 
@@ -31,10 +46,18 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters(read_table(spark, sf_dir, "pages"), rules)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_round_trip(read_table(spark, sf_dir, "documents"), bpe_path())
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -74,5 +97,5 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_url_filters, op6_mix_sources, op8_topk, op9_nearest, op10_best_fit_pack)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_language_id, op3_token_counts, op4_url_filters, op5_jaccard_join, op6_mix_sources, op7_id_files, op8_topk, op9_nearest, op10_best_fit_pack)}
 ORACLES = {"op4_url_filters": OP4_SQL, "op8_topk": OP8_SQL}
