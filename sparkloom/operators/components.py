@@ -10,16 +10,19 @@ from ..storage import drop_table, materialize
 MAX_ROUNDS = 200
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, label (the smallest node of its component) for every node of edges(x, y) of one type.
 
+    With a number of rounds, labels are as good as these make them: nodes of one label are connected, but
+    parts of a component far from each other may still have labels of their own.
+
     Every round takes the smallest label among a node's neighbours and then its label's label, so that
     long chains shrink as fast as stars. Both sides of each join are written tables, whose hot keys can
     be split at run time.
     """
     both = materialize(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "both")
     labels = materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("label")), "labels")
-    for _ in range(MAX_ROUNDS):
+    for _ in range(rounds or MAX_ROUNDS):
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         near = materialize(near.join(labels, "node").select("node", "label", F.least("label", "near").alias("next")), "near")
         jump = near.select(F.col("node").alias("next"), F.col("next").alias("far"))
@@ -27,7 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
         drop_table(near)
         drop_table(labels)
         labels = step
-        if step.where("moved").isEmpty():
-            drop_table(both)
-            return labels.select("node", "label")
-    raise RuntimeError("components did not settle")
+        if rounds is None and step.where("moved").isEmpty():
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError("components did not settle")
+    drop_table(both)
+    return labels.select("node", "label")
