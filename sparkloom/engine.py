@@ -134,6 +134,43 @@ class Workspace:
         best = S.top(hits, limit, offset).withColumnRenamed("doc_id", "_id")
         return best.join(indexed, "_id").select("_id", "score", "kind", "provider", "title", "ts", snippet("body", " ".join(parsed.retrieval_terms())).alias("snippet")).orderBy(F.desc("score"), "_id")
 
+    def index_version(self) -> dict[str, list[int]]:
+        """What a saved index is held against: the versions of the content tables."""
+        return {n: v[-1:] for n in ("messages", "files", "notes", "videos", "transcripts") if (v := self.ingest.table(n).versions())}
+
+    def save_index(self) -> DataFrame:
+        """Write the postings of terms that enough documents hold; returns how many terms are kept and dropped."""
+        docs = self.ingest.documents()
+        body = F.concat_ws("\n", *[F.col(c) for c in ("title", "name", "body_text", "text", "description") if c in docs.columns])
+        index = S.build_index(S.search_documents(docs).join(docs.select("_id", body.alias("body")), "_id"), "_id", {n: F.col(n) for n in ("title", "sender_name", "channel", "provider", "body")})
+        kept, counts = S.k_anonymous(index, self.config.index_k_anonymity)
+        self.ingest.table("postings").replace(kept.withColumn("index_version", F.lit(str(self.index_version()))))
+        return counts
+
+    def load_index(self) -> DataFrame | None:
+        """The saved postings, or None where there are none or the documents have changed since."""
+        have = self.read("postings")
+        if have is None or have.where(F.col("index_version") == str(self.index_version())).isEmpty():
+            return None
+        return have.drop("index_version")
+
+    def recent(self, person_id: str, limit: int = 10) -> DataFrame:
+        """A person's newest messages."""
+        own = self.person_of_ref().where(F.col("person_id") == person_id).select(F.col("ref").alias("sender_ref"))
+        return self.read("messages").join(F.broadcast(own.limit(1000)), "sender_ref", "left_semi").orderBy(F.desc("ts"), "_id").limit(limit)
+
+    def suggestions(self, limit: int = 50) -> DataFrame:
+        return I.suggestions(self.read("suggestions")).limit(limit)
+
+    def runs(self, limit: int = 20) -> DataFrame:
+        return self.read("ingest_runs").orderBy(F.desc("stamp")).limit(limit)
+
+    def audit(self, action: str, at: dt.datetime, detail: str = "") -> None:
+        """Append to the audit log; an entry's id is its content, so that a repeated one is one."""
+        row = self.spark.createDataFrame([(action, at, detail)], "action string, at timestamp, detail string")
+        row = row.withColumn("_id", F.sha2(F.concat_ws("|", "action", F.col("at").cast("string"), "detail"), 256)).withColumn("_ingested", F.unix_micros("at"))
+        self.ingest.table("audit").merge(row)
+
     def ask(self, question: str, now: dt.datetime | None = None) -> tuple[QueryPlan, DataFrame]:
         plan = compile_question(question, self.config.result_limit, now)
         shown = S.search_documents(self.ingest.documents())

@@ -47,6 +47,13 @@ def _map(**pairs: Column) -> Column:
     return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v.cast("string"))])
 
 
+def _lineage(rows: DataFrame) -> Column:
+    """Which envelope a record came from; files attached to a message carry the message's."""
+    if "lineage" in rows.columns:
+        return F.col("lineage")
+    return F.struct(F.col("raw_id").alias("source_artifact_id"), "provider", "stream")
+
+
 def _id(key: Column) -> Column:
     return F.concat_ws(":", "provider", key)
 
@@ -64,7 +71,7 @@ def _message(rows: DataFrame, kind: str, msg_id, conversation, sender_ref, sende
         "_id": _id(msg_id), "kind": F.lit(kind), "provider": F.col("provider"), "provider_msg_id": msg_id, "conversation_id": conversation, "thread_root_id": more.get("root", none), "reply_to_id": F.coalesce(more.get("reply", none), none),
         "sender_ref": sender_ref, "sender_name": F.coalesce(sender_name, none), "ts": ts, "body_text": text, "body_hash": content_hash(text), "lang": F.lit("en"), "direction": more.get("direction", F.lit("unknown")),
         "attachments": more.get("attachments", F.array()).cast("array<struct<provider_file_id:string,name:string,mime:string,size_bytes:bigint>>"),
-        "reactions": more.get("reactions", F.array()).cast("array<struct<emoji:string,count:bigint,users:array<string>>>"), "extra": more.get("extra", F.create_map()).cast("map<string,string>"),
+        "reactions": more.get("reactions", F.array()).cast("array<struct<emoji:string,count:bigint,users:array<string>>>"), "extra": more.get("extra", F.create_map()).cast("map<string,string>"), "lineage": _lineage(rows),
     }
     return rows.select(*[c.alias(n) for n, c in cols.items()])
 
@@ -74,14 +81,14 @@ def _file(rows: DataFrame, file_id, name, mime, size, modified, **more) -> DataF
     cols = {
         "_id": _id(file_id), "kind": F.lit("file"), "provider": F.col("provider"), "provider_file_id": file_id, "name": name, "mime": F.coalesce(mime, F.lit("application/octet-stream")), "size_bytes": F.coalesce(size.cast("bigint"), F.lit(0)),
         "modified_ts": modified, "created_ts": more.get("created", modified), "path": more.get("path", none), "folder_path": more.get("folders", F.array()).cast("array<string>"), "owner_ref": more.get("owner", none),
-        "shared_with": F.array().cast("array<string>"), "checksum": more.get("checksum", none), "deleted": F.coalesce(more.get("deleted", F.lit(False)), F.lit(False)), "extra": more.get("extra", F.create_map()).cast("map<string,string>"),
+        "shared_with": F.array().cast("array<string>"), "checksum": more.get("checksum", none), "deleted": F.coalesce(more.get("deleted", F.lit(False)), F.lit(False)), "extra": more.get("extra", F.create_map()).cast("map<string,string>"), "lineage": _lineage(rows),
     }
     return rows.select(*[c.alias(n) for n, c in cols.items()])
 
 
 def attached_files(messages: DataFrame) -> DataFrame:
     """File rows of the attachments of messages; the sender owns them."""
-    rows = messages.select("provider", "conversation_id", "sender_ref", "ts", F.explode("attachments").alias("a"))
+    rows = messages.select("provider", "conversation_id", "sender_ref", "ts", "lineage", F.explode("attachments").alias("a"))
     return _file(rows, F.col("a.provider_file_id"), F.col("a.name"), F.col("a.mime"), F.col("a.size_bytes"), F.col("ts"), owner=F.col("sender_ref"), extra=_map(conversation_id=F.col("conversation_id"), sent_by=F.col("sender_ref")))
 
 
@@ -213,7 +220,7 @@ def dropbox(raw: DataFrame) -> dict[str, DataFrame]:
 
 def _note(rows, note_id, title, body, edited, created, **more) -> DataFrame:
     none = F.lit("")
-    cols = {"_id": _id(note_id), "kind": F.lit("note"), "provider": F.col("provider"), "provider_page_id": note_id, "title": title, "body_text": body, "body_hash": content_hash(body), "url": more.get("url", none), "parent_id": F.coalesce(more.get("parent", none), none), "block_count": more.get("blocks", F.lit(0)).cast("bigint"), "tags": more.get("tags", F.array()).cast("array<string>"), "last_edited": edited, "created_ts": created, "extra": more.get("extra", F.create_map()).cast("map<string,string>")}
+    cols = {"_id": _id(note_id), "kind": F.lit("note"), "provider": F.col("provider"), "provider_page_id": note_id, "title": title, "body_text": body, "body_hash": content_hash(body), "url": more.get("url", none), "parent_id": F.coalesce(more.get("parent", none), none), "block_count": more.get("blocks", F.lit(0)).cast("bigint"), "tags": more.get("tags", F.array()).cast("array<string>"), "last_edited": edited, "created_ts": created, "extra": more.get("extra", F.create_map()).cast("map<string,string>"), "lineage": _lineage(rows)}
     return rows.select(*[c.alias(n) for n, c in cols.items()])
 
 
@@ -264,17 +271,39 @@ def youtube(raw: DataFrame) -> dict[str, DataFrame]:
     p = lambda c: F.col(f"p.{c}")
     rows = parsed(raw, "youtube", YOUTUBE).withColumn("vid", F.coalesce(F.try_variant_get(F.try_parse_json("payload"), "$.id.videoId", "string"), F.when(~F.startswith(F.coalesce(p("id"), F.lit("{")), F.lit("{")), p("id")), F.col("raw_id")))
     title = F.coalesce(p("snippet.title"), p("title"), F.lit(""))
-    video = rows.select(_id(F.col("vid")).alias("_id"), F.lit("video").alias("kind"), "provider", F.col("vid").alias("provider_video_id"), title.alias("title"), F.substring(F.coalesce(p("snippet.description"), F.lit("")), 1, 2000).alias("description"), p("snippet.channelId").alias("channel_id"), p("snippet.channelTitle").alias("channel_title"), p("snippet.publishedAt").alias("published_ts"), duration_seconds(F.coalesce(p("snippet.duration"), F.lit(""))).alias("duration_s"), F.coalesce(p("snippet.tags"), F.array()).alias("tags"), F.coalesce(p("_playlist_label"), F.lit("")).alias("playlist_label"))
+    video = rows.select(_id(F.col("vid")).alias("_id"), F.lit("video").alias("kind"), "provider", F.col("vid").alias("provider_video_id"), title.alias("title"), F.substring(F.coalesce(p("snippet.description"), F.lit("")), 1, 2000).alias("description"), p("snippet.channelId").alias("channel_id"), p("snippet.channelTitle").alias("channel_title"), p("snippet.publishedAt").alias("published_ts"), duration_seconds(F.coalesce(p("snippet.duration"), F.lit(""))).alias("duration_s"), F.coalesce(p("snippet.tags"), F.array()).alias("tags"), F.coalesce(p("_playlist_label"), F.lit("")).alias("playlist_label"), _lineage(rows).alias("lineage"))
     lang = F.coalesce(p("_caption_lang"), F.lit("en"))
     t = rows.where(p("_caption_srt").isNotNull()).withColumn("segments", caption_segments(p("_caption_srt"))).withColumn("text", F.array_join(F.transform("segments", lambda s: s["text"]), " "))
     key = F.concat_ws(":", F.col("vid"), lang)
-    transcript = t.select(_id(key).alias("_id"), F.lit("transcript").alias("kind"), "provider", key.alias("provider_transcript_id"), F.col("vid").alias("video_id"), title.alias("title"), lang.alias("language"), F.size("segments").cast("bigint").alias("seg_count"), "text", content_hash("text").alias("text_hash"), "segments")
+    transcript = t.select(_id(key).alias("_id"), F.lit("transcript").alias("kind"), "provider", key.alias("provider_transcript_id"), F.col("vid").alias("video_id"), title.alias("title"), lang.alias("language"), F.size("segments").cast("bigint").alias("seg_count"), "text", content_hash("text").alias("text_hash"), "segments", _lineage(t).alias("lineage"))
     return {"videos": video, "transcripts": transcript}
 
 
 NORMALIZERS: dict[str, Callable[[DataFrame], dict[str, DataFrame]]] = {f.__name__: f for f in (slack, gmail, discord, whatsapp, gdrive, onedrive, dropbox, notion, evernote, youtube)}
 
 
+def unpack_export(zip_path: str, folder: str) -> list[str]:
+    """Chat exports: the text and media of a zip, written below folder; entries that would leave it are refused."""
+    import os
+    import zipfile
+
+    root, out = os.path.realpath(folder), []
+    with zipfile.ZipFile(zip_path) as z:
+        for entry in z.infolist():
+            if entry.is_dir() or "__MACOSX" in entry.filename or os.path.basename(entry.filename).startswith("."):
+                continue
+            if entry.filename.rsplit(".", 1)[-1].lower() not in {"txt", *MIME}:
+                continue
+            target = os.path.realpath(os.path.join(root, entry.filename))
+            if os.path.commonpath([root, target]) != root:
+                raise ValueError(f"{entry.filename} would be written outside {folder}")
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(target, "wb") as f:
+                f.write(z.read(entry))
+            out.append(target)
+    return out
+
+
 def normalize(raw: DataFrame) -> dict[str, DataFrame]:
     """Silver tables by name of all providers' rows."""
     out: dict[str, DataFrame] = {}

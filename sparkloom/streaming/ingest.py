@@ -123,6 +123,11 @@ def identities(messages: DataFrame) -> DataFrame:
     return out.withColumn("_id", F.col("ref")).withColumn("provider_user_id", F.regexp_replace("ref", "^[^:]*:", ""))
 
 
+def follow(stream: DataFrame, take, checkpoint: str, mode: str = "append") -> None:
+    """Run a stream till its present end, each batch through take(rows); returns when all are taken."""
+    stream.writeStream.outputMode(mode).foreachBatch(lambda rows, n: take(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def latest_by_key(events: DataFrame, key: str, ts: str, late: str = "1 day") -> DataFrame:
     """A stream's rows without repeats of a key within the watermark (state is dropped behind it)."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])

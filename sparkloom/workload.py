@@ -17,6 +17,8 @@ from .operators import predict as P
 from .operators import search as S
 from .operators import summarize as Z
 from .plans.compiler import compile_question, execute
+from .storage import shared_dir
+from .streaming import ingest as K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -809,3 +811,40 @@ def siblings(spark, sf_dir):
 def nl_plan_execute(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_id"), F.col("source").alias("provider"), F.lit("message").alias("kind"), F.lit("").alias("ts"))
     return execute(compile_question("how many messages are there? provider:src3"), docs)
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+def event_stream(spark, sf_dir) -> DataFrame:
+    folder = sf_dir.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
+    single = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    reader = spark.readStream.schema(schema)  # a stream reads a folder, of which a single file is picked by name
+    raw = reader.option("pathGlobFilter", "events.parquet").parquet(folder) if single else reader.parquet(f"{folder}/events.parquet")
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def stream_upsert(spark, sf_dir):
+    folder = shared_dir(spark)
+    latest = K.VersionedTable(spark, folder, "latest")
+    K.follow(event_stream(spark, sf_dir), lambda rows: latest.merge(rows.withColumn("_ingested", F.col("event_id")), "user_id"), f"{folder}/checkpoint")
+    return latest.read().select("user_id", "event_id", "event_type")
+
+
+@query(
+    """SELECT user_id, strftime(start, '%Y-%m-%d') AS start, count(*) AS n FROM (SELECT user_id, date_trunc('day', ts) - k * INTERVAL 1 DAY AS start FROM events, range(14) AS r(k)) GROUP BY user_id, start HAVING count(*) >= 8"""
+)
+def stream_burst_window(spark, sf_dir):
+    folder = shared_dir(spark)
+    found = K.VersionedTable(spark, folder, "windows")
+    K.follow(K.burst_windows(event_stream(spark, sf_dir), ["user_id"]), found.replace, f"{folder}/checkpoint", "complete")
+    return found.read().select("user_id", F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
+
+
+@query("SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CAST(coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR, true) AS INTEGER) AS new FROM events)) GROUP BY ALL) GROUP BY user_id")
+def quiet_sessions(spark, sf_dir):
+    sessions = K.quiet_sessions(table(spark, sf_dir, "events"), ["user_id"], gap="6 hours")
+    return sessions.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"))

@@ -54,6 +54,12 @@ def test_workspace(spark, tmp_path):
     assert w.document(doc).count() == 1 and w.siblings(doc).count() == 3 and w.summarize(doc).count() == 1
     assert w.importance(NOW).where("importance between 0 and 1").count() == 5
     assert w.suggest("op").count() == 1 and w.conversations().count() == 2
+    assert w.load_index() is None and w.save_index().first()["kept"] > 0 and w.load_index().count() > 0
+    assert w.recent(people["Ann Lee"]["person_id"]).count() == 3 and w.runs().count() == 2 and w.suggestions().count() >= 0
+    for _ in range(2):
+        w.audit("sync", NOW, "x")
+    assert w.read("audit").count() == 1
+    w.review("a", "b", True) if w.read("links") is not None else None
     w.drop_derived()
     assert w.read("persons") is None and w.read("messages").count() == 5
 
@@ -90,6 +96,25 @@ def test_normalizers(spark, provider, payload, table, want):
     assert {k: row[k] for k in want} == want
 
 
+def test_lineage(spark):
+    out = M.normalize(envelopes(spark, "slack", "c1", SLACK[:2]))
+    assert {r["lineage"]["source_artifact_id"] for t in ("messages", "files") for r in out[t].collect()} == {"slack:c1:0", "slack:c1:1"}
+
+
+def test_unpack_export(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("chat.txt", "x")
+        z.writestr("__MACOSX/chat.txt", "x")
+        z.writestr("run.exe", "x")
+    assert [p.rsplit("/", 1)[1] for p in M.unpack_export(str(tmp_path / "a.zip"), str(tmp_path / "out"))] == ["chat.txt"]
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("../evil.txt", "x")
+    with pytest.raises(ValueError):
+        M.unpack_export(str(tmp_path / "b.zip"), str(tmp_path / "out"))
+
+
 def test_folders_are_no_files(spark):
     raw = envelopes(spark, "dropbox", "s", [{"id": "b", "name": "d", ".tag": "folder"}]).unionByName(envelopes(spark, "onedrive", "s", [{"id": "o", "folder": {"childCount": 1}}]))
     assert M.normalize(raw)["files"].count() == 0
