@@ -2,49 +2,53 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import drop_table, materialize, shared_dir
+
+__all__ = ["bounded_batches", "drop_table", "map_arrow", "materialize", "read_table", "shared_dir", "slices", "text_buffers", "write_shared"]
+
 #: Bytes of text that a numpy kernel works on at once; bounds a Python worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share.
+#: Bytes of one Arrow batch between the JVM and a Python worker; both sides hold one or two.
+BATCH_BYTES = 4 << 20
 
-    Only where that setting is absent (a local session, as in tests) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_dir, "local", None)
-        if base is None:
-            base = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    return f"{base.rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sparkloom_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete what materialize() wrote; df must not be read afterwards."""
-    path = getattr(df, "_sparkloom_path", None)
-    if path is None:
-        return
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where.getParent(), True)
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Make the session's Arrow batches small enough for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+@functools.cache
+def _trim():
+    """The C library's call that returns freed memory to the system; nothing where there is none."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in small batches; a task gives unused memory back when it ends."""
+    bounded_batches(df.sparkSession)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return df.mapInArrow(tidy, schema)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

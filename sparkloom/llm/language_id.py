@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers
+from .common import map_arrow, slices, text_buffers
 from .pretokens import LETTER, class_table, mix
 
 ORDER, DOCS_PER_LANG, MAX_LANGS = 4, 600, 500
@@ -229,13 +229,13 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, margin: float = 1.5
     names = [f"s{i}" for i in range(ORDER)]
     schema = ", ".join(["lang string", *(f"{c} bigint" for c in names), "n bigint"])
     text = sample.where(F.col("text").isNotNull())
-    counts = text.where(~F.col("held")).select("text", "lang").mapInArrow(_count_grams, schema).groupBy("lang", *names).agg(F.sum("n").alias("n")).toPandas()
+    counts = map_arrow(text.where(~F.col("held")).select("text", "lang"), _count_grams, schema).groupBy("lang", *names).agg(F.sum("n").alias("n")).toPandas()
     langs = [x for x in langs if (counts["lang"] == x).any()]
     if not langs:
         return None
     model = train(counts, langs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    apart = text.where("held").select("text", "lang").mapInArrow(_entropies(shared), "lang string, e array<double>, n bigint").where("n > 0").toPandas()
+    apart = map_arrow(text.where("held").select("text", "lang"), _entropies(shared), "lang string, e array<double>, n bigint").where("n > 0").toPandas()
     shared.unpersist()
     apart = apart[apart["lang"].isin(langs)]
     if len(apart):
@@ -270,7 +270,7 @@ def identify(docs: DataFrame, model: Models | None, id_col: str = "doc_id", text
                 best = np.where(none, len(langs) - 1, best)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(langs[best], pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(low, mask=none), pa.array(rejected)], ["id", "lang_pred", "score", "bits_per_char", "rejected"])
 
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_char double, rejected boolean").withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, f"id {kind}, lang_pred string, score double, bits_per_char double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Models | None, text_col: str = "text") -> DataFrame:
@@ -286,4 +286,4 @@ def accepted(docs: DataFrame, model: Models | None, text_col: str = "text") -> D
                 rejected = shared.value.decide(*shared.value.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))[3]
                 yield b.slice(i, j - i).filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

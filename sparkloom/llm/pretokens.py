@@ -155,7 +155,7 @@ def tokenizer(path: str):
 class IdEncoder:
     """Ids of whole texts as the tokenizers library gives them, without special tokens added."""
 
-    LIMIT = 400_000  # distinct pieces kept; beyond, the memory starts anew
+    LIMIT = 250_000  # distinct pieces kept; beyond, the memory starts anew
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)

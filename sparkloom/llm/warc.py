@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, write_shared
+from .common import map_arrow, materialize, shared_dir, write_shared
 
 MAGIC = 0x184D2A5D  # the skippable frame of a dictionary
 ARCHIVE_BYTES, TRAIN_BYTES, DICTIONARY_BYTES = 16 << 20, 2 << 20, 64 << 10
@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if held:
             yield flush()
 
-    return materialize(rows.mapInArrow(run, "path string, records bigint, bytes bigint"), "manifest")
+    return materialize(map_arrow(rows, run, "path string, records bigint, bytes bigint"), "manifest")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +151,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    return files.mapInArrow(run, "record_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
+    return map_arrow(files, run, "record_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
