@@ -6,13 +6,20 @@ of t the difference d is bounded by the sizes. Per size band the hash space is c
 each with a 64-bit parity word; by the pigeonhole principle two linked sets agree in at least K - d
 words, so some word is among the first d + 1 of both, which are the join's keys.
 
+The order in which words become keys is free, as long as all sets share it. Words that several sets of
+a sample hold come last, so that passages which many texts share are keys only where a text has little
+else; the sample decides the order alone, never the result.
+
 Sets that are equal form one class, and only classes are joined. Of all classes with a key, each is
 paired with the smallest (a star, built per task first, so that a hot key is one row per task later).
 Pairs whose sizes or sketches rule a link out are dropped; the others are verified on the sets
-themselves. Classes of a key that these links leave in different components are then compared with each
-other, in blocks of bounded size by sketch, and verified too. So every link that could join two
+themselves: first each class with the one it shares most keys with, then what is left between
+components. Classes of a key that these links leave in different components are then compared with
+each other, in blocks of bounded size by sketch, and verified too. So every link that could join two
 components is found, and no group of copies is ever expanded into its pairs.
 
+Where a large table is joined with a few rows of it, a bitmap of fixed size drops most others first.
+
 Null and empty texts have empty sets and are linked with nothing. Rows with a null id take part, but
 give no component its name; a component of such rows only has a null id. Repeated rows share a class.
 Columns besides id and text are not read.
@@ -23,20 +30,22 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, slices, text_buffers
-from .components import components
+from ..operators.components import components
+from .common import drop_table, map_arrow, materialize, slices, text_buffers
 from .pretokens import mix
 from .shingles import segment_keys, shingle_sets, sketches
 
 #: Keys that a task sorts at once, keys of one partition after the shuffle, classes of one block of a key.
 CHUNK_KEYS, PART_KEYS, BLOCK = 1_500_000, 1_500_000, 1_000
-#: Bits of the filter that picks the texts to verify; a fixed size, whatever the input's.
-FILTER_BITS = 1 << 26
+#: Bits of the filters that pick rows before a join; a fixed size, whatever the input's.
+FILTER_BITS = 1 << 25
+#: One text in so many is looked at to find common words, and how many of them share such a word.
+SAMPLE, COMMON = 16, 3
+SLICE = 1 << 20
 
 
 def class_ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -47,12 +56,45 @@ def class_ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix((one[at[1:]] - one[at[:-1]]) ^ mix(two[at[1:]] - two[at[:-1]]) + size.astype(np.uint64)).view(np.int64)
 
 
-def _signatures(percent: int):
+def _bitmap(slots: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, on for each value of slot; the words come to the driver, whose number is fixed."""
+    words = slots.select((F.col("slot") / 64).cast("int").alias("w"), F.col("slot").cast("int").bitwiseAND(63).alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
+    got = words.toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def _slot(c: str):
+    """The bit of a 64-bit hash."""
+    return F.col(c).bitwiseAND(FILTER_BITS - 1).alias("slot")
+
+
+def _on(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes.astype(np.int64) & (FILTER_BITS - 1)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sampled_words(percent: int):
+    def run(batches):
+        for b in batches:
+            raw, offsets = text_buffers(b.column(0))
+            for i, j in slices(offsets, SLICE):
+                sets, at = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                cid = class_ids(sets, at)
+                keys, docs = (np.concatenate(x) for x in zip(segment_keys(sets, at, percent, False), segment_keys(sets, at, percent, True), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cid[docs])], ["key", "cid"])
+
+    return run
+
+
+def _signatures(percent: int, common):
     def run(batches):
         seen: set[int] = set()
+        last = lambda keys: _on(common.value, keys)
         for b in batches:
             raw, offsets = text_buffers(b.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 sets, at = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 size, cid = np.diff(at), class_ids(sets, at)
                 new = np.zeros(j - i, bool)
@@ -60,7 +102,7 @@ def _signatures(percent: int):
                     if n and c not in seen:
                         seen.add(c)
                         new[r] = True
-                keys, docs = (np.concatenate(x) for x in zip(segment_keys(sets, at, percent, False), segment_keys(sets, at, percent, True), strict=True))
+                keys, docs = (np.concatenate(x) for x in zip(segment_keys(sets, at, percent, False, last), segment_keys(sets, at, percent, True, last), strict=True))
                 keep = new[docs]
                 order = np.argsort(docs[keep], kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(docs[keep], minlength=j - i))])
@@ -188,17 +230,15 @@ def _linked(percent: int):
 
 
 def _sets_of(bitmap):
-    """(cid, sorted hashes) of the texts whose slot is marked."""
+    """(cid, sorted hashes) of the texts whose id's hash is marked."""
 
     def run(batches):
-        marked = bitmap.value
         for b in batches:
-            slot = b.column(1).to_numpy()
-            rows = np.flatnonzero(marked[slot >> 3] >> (slot & 7) & 1)
+            rows = np.flatnonzero(_on(bitmap.value, b.column(1).to_numpy()))
             if not len(rows):
                 continue
             raw, offsets = text_buffers(b.column(0).take(pa.array(rows)))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 sets, at = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cid, size = class_ids(sets, at), np.diff(at)
                 data = [sets[a:e].tobytes() for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -207,100 +247,209 @@ def _sets_of(bitmap):
     return run
 
 
-def _bitmap(slots: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, on for each value of slot; the words come to the driver, whose number is fixed."""
-    words = slots.select((F.col("slot") / 64).cast("int").alias("w"), F.col("slot").cast("int").bitwiseAND(63).alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-    got = words.toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.view(np.uint8)
+def _marked_classes(bitmap):
+    """Rows (cid, n, sketch) whose class is marked."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_on(bitmap.value, b.column(0).to_numpy())))
+
+    return run
+
+
+def _marked_keys(bitmap):
+    """(key, cid) of the marked keys of rows (cid, keys)."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            keys = lists.flatten().to_numpy()
+            on = _on(bitmap.value, keys)
+            cid = np.repeat(b.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(cid[on])], ["key", "cid"])
+
+    return run
 
 
 class _Join:
-    """The tables that both rounds of the join share."""
+    """The tables that all rounds of the join share, and what is known of the classes so far."""
 
     def __init__(self, docs: DataFrame, sig: DataFrame, percent: int):
         self.docs, self.sig, self.percent = docs, sig, percent
+        self.share = docs.sparkSession.sparkContext.broadcast
+        self.links = self.label = None
 
-    def _slot(self):
-        return F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    def classes(self, asked: DataFrame) -> DataFrame:
+        """cid, n, s (sketch) of the asked classes (cid, a written table)."""
+        own = map_arrow(self.sig.where("n > 0").select("cid", "n", "sketch"), _marked_classes(self.share(_bitmap(asked.select(_slot("cid"))))), "cid bigint, n bigint, sketch binary")
+        return materialize(own.join(asked, "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("s")), "classes")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs (x, y) of classes that sizes and sketches allow."""
-        own = self.sig.where("n > 0").select("cid", "n", "sketch")
-        asked = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
-        known = materialize(own.join(materialize(asked, "asked"), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("s")), "sketches")
+        known = self.classes(materialize(_both(pairs), "asked"))
         rows = pairs.join(known.toDF("x", "n", "s"), "x").join(known.toDF("y", "m", "t"), "y").select("x", "y", "n", "m", "s", "t")
-        return rows.mapInArrow(_possible(self.percent), "x bigint, y bigint")
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a written table) that are linked, held against the sets of one text of each class."""
-        asked = materialize(pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct(), "asked")
-        named = materialize(self.sig.where("n > 0").join(asked, "cid", "left_semi").groupBy("cid").agg(F.min("id").alias("id")), "named")
-        bitmap = self.docs.sparkSession.sparkContext.broadcast(_bitmap(named.select(self._slot().alias("slot"))))
-        texts = self.docs.select("text", self._slot().alias("slot"))
-        sets = texts.mapInArrow(_sets_of(bitmap), "cid bigint, hashes binary").where("cid is not null")
+        return materialize(map_arrow(rows, _possible(self.percent), "x bigint, y bigint"), "possible")
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Take up the pairs (a written table) that are linked, held against the sets of one text of each class."""
+        if pairs.isEmpty():
+            return
+        asked = materialize(_both(pairs), "asked")
+        named = self.classes_named(asked)
+        texts = self.docs.select("text", F.xxhash64("id").alias("h"))
+        sets = map_arrow(texts, _sets_of(self.share(_bitmap(named.select(_slot("h"))))), "cid bigint, hashes binary").where("cid is not null")
         sets = materialize(sets.join(asked, "cid", "left_semi").groupBy("cid").agg(F.first("hashes").alias("s")), "sets")
         rows = pairs.join(sets.toDF("x", "s"), "x").join(sets.toDF("y", "t"), "y").select("x", "y", "s", "t")
-        out = materialize(rows.mapInArrow(_linked(self.percent), "x bigint, y bigint"), "links")
+        found = materialize(map_arrow(rows, _linked(self.percent), "x bigint, y bigint"), "links")
         drop_table(sets)
-        return out
+        self.links = found if self.links is None else self.links.unionByName(found)
+        self.label = components(self.links, PART_ROUNDS)
+
+    def classes_named(self, asked: DataFrame) -> DataFrame:
+        """h: the hash of one id of each asked class."""
+        own = self.sig.where("n > 0").select("cid", F.xxhash64("id").alias("h"))
+        return own.join(asked, "cid", "left_semi").groupBy("cid").agg(F.min("h").alias("h"))
+
+    def cross(self, member: DataFrame, own: DataFrame, parts: int, whole: bool) -> DataFrame:
+        """x, y: possible pairs of classes of one key (member) that are in different components so far."""
+        if self.label is not None:
+            own = own.join(self.label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid")).drop("label")
+        else:
+            own = own.withColumn("comp", F.col("cid"))
+        own = materialize(own, "own")
+        # keys whose classes have all come together have nothing left to compare
+        mixed = member.join(own.select("cid", "comp"), "cid").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+        left = member.join(materialize(mixed, "mixed"), "key", "left_semi")
+        pair = lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("side"))
+        grid = left.select("key", "cid", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("g"))
+        grid = grid.select("key", "cid", "g.*").join(own, "cid")
+        return map_arrow(grid.repartition(parts, "key", "i", "j"), _cross(self.percent, whole), "x bigint, y bigint").distinct()
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose classes are in different components so far."""
+        if self.label is None:
+            return pairs
+        of = lambda c: self.label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        rows = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+        return rows.where(F.coalesce("x_label", "x") != F.coalesce("y_label", "y")).select(*pairs.columns)
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
+
+
+def _cross(percent: int, whole: bool):
+    """Possible pairs between different components, for each (key, i, j) of a partition.
+
+    Where these are many more than the classes, and unless whole is asked for, only as many as could join
+    the components are given, the closest first.
+    """
 
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        pdf = t.to_pandas().sort_values(["key", "i", "j", "side", "n", "cid"], kind="stable")
+        key, i, j, side = (pdf[c].to_numpy() for c in ("key", "i", "j", "side"))
+        cid, comp, n, sketch = (pdf[c].to_numpy() for c in ("cid", "comp", "n", "s"))
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        found: set[tuple[int, int]] = set()
+        known: dict[tuple[int, int], float] = {}  # share of difference of pairs already looked at, infinite if too large
+        for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+            mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            same = mid == hi  # a block with itself
+            near = []
+            for a in range(lo, mid):
+                b0, b1 = (a + 1, mid) if same else (mid, hi)
+                # sizes ascend, so that those in reach are a range
+                b0 += int(np.searchsorted(n[b0:b1], -(-n[a] * percent // 100)))
+                b1 = b0 + int(np.searchsorted(n[b0:b1], n[a] * 100 // percent, "right"))
+                for b in (np.flatnonzero(comp[b0:b1] != comp[a]) + b0).tolist():
+                    pair = (int(cid[a]), int(cid[b])) if cid[a] < cid[b] else (int(cid[b]), int(cid[a]))
+                    share = known.get(pair)
+                    if share is None:
+                        d, total = hamming(sketch[a], sketch[b]), int(n[a] + n[b])
+                        share = known[pair] = d / total if (100 + percent) * d <= (100 - percent) * total else np.inf
+                    if share < np.inf:
+                        near.append((share, pair, int(comp[a]), int(comp[b])))
+            if whole or len(near) <= 4 * (hi - lo):
+                found.update(p for _, p, _, _ in near)
+            else:
+                root: dict[int, int] = {}
+
+                def find(x):
+                    while root.get(x, x) != x:  # noqa: B023  called at once
+                        x = root[x]  # noqa: B023
+                    return x
+
+                for _, pair, x, y in sorted(near):
+                    x, y = find(x), find(y)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        found.add(pair)
+            if len(known) > 1_000_000:
+                known.clear()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(found), strict=True)], ["x", "y"])
 
-def _cross(percent: int):
-    """Possible pairs between different components of one block pair of one key."""
+    return run
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        right = left if len(right) == 0 else right
-        found = []
-        sketch = list(right["sketch"])
-        rc, rn, rid = right["comp"].to_numpy(), right["n"].to_numpy(), right["cid"].to_numpy()
-        for c, comp, n, s in zip(left["cid"], left["comp"], left["n"], left["sketch"], strict=True):
-            ok = (rc != comp) & (100 * np.minimum(rn, n) >= percent * np.maximum(rn, n))
-            found += [(min(c, rid[i]), max(c, rid[i])) for i in np.flatnonzero(ok).tolist() if (100 + percent) * hamming(s, sketch[i]) <= (100 - percent) * (n + rn[i])]
-        return pd.DataFrame(found, columns=["x", "y"], dtype="int64").drop_duplicates()
 
-    return run
+#: Keys of so many classes are first looked at by one key per class, in so many rounds, so that large groups
+#: come together before all that is left between components is compared.
+LARGE, FOREST_ROUNDS = 32, 2
+#: Rounds of label propagation between rounds of the join; labels that have not met yet only cost comparisons.
+PART_ROUNDS = 2
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id for every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sig = materialize(docs.mapInArrow(_signatures(percent), f"id {kind}, n bigint, cid bigint, sketch binary, keys array<bigint>"), "signatures")
+    share = docs.sparkSession.sparkContext.broadcast
+    sampled = map_arrow(docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text"), _sampled_words(percent), "key bigint, cid bigint")
+    common = sampled.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    common = share(_bitmap(common.select(_slot("key"))))
+    sig = materialize(map_arrow(docs, _signatures(percent, common), f"id {kind}, n bigint, cid bigint, sketch binary, keys array<bigint>"), "signatures")
     total = sig.agg(F.sum(F.size("keys"))).first()[0] or 0
     parts = max(1, math.ceil(total / PART_KEYS))
-    stars = sig.where(F.size("keys") > 0).select("cid", "keys").mapInArrow(_local_stars(parts), "part int, blob binary, key bigint, x bigint, y bigint")
-    edges = materialize(stars.repartition(parts, "part").mapInArrow(_global_stars, "key bigint, x bigint, y bigint"), "edges")
+    keyed = sig.where(F.size("keys") > 0).select("cid", "keys")
+    stars = map_arrow(keyed, _local_stars(parts), "part int, blob binary, key bigint, x bigint, y bigint")
+    edges = materialize(map_arrow(stars.repartition(parts, "part"), _global_stars, "key bigint, x bigint, y bigint"), "edges")
     join = _Join(docs, sig, percent)
 
-    pairs = materialize(edges.select("x", "y").distinct(), "pairs")
-    links = join.verify(materialize(join.possible(pairs), "possible"))
-    label = components(links)
+    pairs = materialize(edges.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")), "pairs")
+    best = pairs.groupBy("x").agg(F.max(F.struct("c", (-F.col("y")).alias("y"))).alias("b")).select("x", (-F.col("b.y")).alias("y"))
+    join.verify(join.possible(materialize(best, "best")))
+    rest = materialize(join.apart(pairs.select("x", "y")), "rest")
+    join.verify(join.possible(materialize(rest.join(best, ["x", "y"], "left_anti"), "others")))
 
     # keys of three or more classes whose star left them in different components
-    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    apart = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("x_label", "x") != F.coalesce("y_label", "y")).select("x", "y")
-    apart = materialize(apart, "apart")
+    apart = materialize(join.apart(rest), "apart")
     size = edges.groupBy("key").agg(F.count(F.lit(1)).alias("others")).where("others > 1")
     loose = materialize(edges.join(apart, ["x", "y"], "left_semi").select("key").distinct().join(size, "key"), "loose")
     if not loose.isEmpty():
-        member = sig.where(F.size("keys") > 0).select("cid", "n", "sketch", F.explode("keys").alias("key")).select("key", "cid").join(loose, "key").distinct()
+        member = map_arrow(keyed, _marked_keys(share(_bitmap(loose.select(_slot("key"))))), "key bigint, cid bigint").join(loose, "key").distinct()
         blocks = F.ceil((F.col("others") + 1) / BLOCK).cast("int")
-        member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        own = sig.where("n > 0").join(materialize(member.select("cid").distinct(), "members"), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        own = materialize(own.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "sketch", F.coalesce("label", "cid").alias("comp")), "own")
-        member = materialize(member, "member")
-        grid = member.select("key", "cid", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("side")))).alias("g"))
-        cross = grid.select("key", "cid", "g.*").join(own, "cid").groupBy("key", "i", "j").applyInPandas(_cross(percent), "x bigint, y bigint").distinct()
+        member = materialize(member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "member")
+        own = join.classes(materialize(member.select("cid").distinct(), "asked"))
+        parts = max(1, math.ceil((member.agg(F.sum("blocks")).first()[0] or 0) / (8 * BLOCK)))
         tested = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        more = materialize(cross.join(tested, ["x", "y"], "left_anti"), "cross")
-        if not more.isEmpty():
-            links = links.unionByName(join.verify(more))
-            label = components(links)
-
-    first = sig.where("n > 0").groupBy("cid").agg(F.min("id").alias("first")).join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        large = member.where(F.col("others") >= LARGE)
+        for r in range(0 if large.isEmpty() else FOREST_ROUNDS):
+            pick = large.groupBy("cid").agg(F.max_by("key", F.struct("others", "key") if r == 0 else F.xxhash64(F.lit(r), "key")).alias("key"))
+            some = materialize(large.join(materialize(pick, "pick"), ["cid", "key"], "left_semi"), "some")
+            more = materialize(join.cross(some, own, parts, False).join(tested, ["x", "y"], "left_anti"), "more")
+            join.verify(more)
+            tested = tested.unionByName(more)
+        join.verify(materialize(join.cross(member, own, parts, True).join(tested, ["x", "y"], "left_anti"), "more"))
+
+    first = sig.where("n > 0").groupBy("cid").agg(F.min("id").alias("first"))
+    if join.links is not None:
+        first = first.join(components(join.links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    else:
+        first = first.withColumn("label", F.col("cid"))
     first = materialize(first, "first")
     name = materialize(first.groupBy("label").agg(F.min("first").alias("component_id")), "name")
     named = materialize(first.join(name, "label").select("cid", "component_id"), "named")

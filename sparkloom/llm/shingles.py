@@ -97,13 +97,14 @@ def reach(size, percent: int):
     return (size * (100 - percent)) // percent
 
 
-def segment_keys(sets: np.ndarray, at: np.ndarray, percent: int, down: bool) -> tuple[np.ndarray, np.ndarray]:
+def segment_keys(sets: np.ndarray, at: np.ndarray, percent: int, down: bool, last=None) -> tuple[np.ndarray, np.ndarray]:
     """(keys, set of each key): the pigeonhole keys in the set's own size band, or with down in the next smaller one.
 
     The hash space is cut into K segments. A segment's 64-bit parity word is the XOR of its hashes; two
     sets that differ in at most d hashes agree in at least K - d of the K words. Under any fixed order of
-    words, the first d + 1 words of each then have one in common. Fuller segments come first, as they are
-    shared by chance least; empty ones are used only where nothing else is left.
+    words, the first d + 1 words of each then have one in common. Words for which ``last`` (a function of
+    their keys) is true come last in that order, fuller segments first, as they are shared by chance
+    least; empty ones are used only where nothing else is left. Without ``last`` all filled ones are given.
     """
     size = np.diff(at)
     lv = level(size) - (1 if down else 0)
@@ -126,7 +127,10 @@ def segment_keys(sets: np.ndarray, at: np.ndarray, percent: int, down: bool) ->
     rdoc, rseg = doc[run], seg[run]
     tag = mix(rseg.astype(np.uint64) * np.uint64(64) + lv[rdoc].astype(np.uint64))
     key = mix(word ^ tag)
-    order = np.argsort((rdoc.astype(np.uint64) << np.uint64(40)) | ((np.uint64(255) - np.minimum(count, 255).astype(np.uint64)) << np.uint64(32)) | (key >> np.uint64(32)), kind="stable")
+    if last is None:
+        return key, rdoc
+    order = (rdoc.astype(np.uint64) << np.uint64(40)) | (last(key).astype(np.uint64) << np.uint64(39)) | ((np.uint64(127) - np.minimum(count, 127).astype(np.uint64)) << np.uint64(32)) | (key >> np.uint64(32))
+    order = np.argsort(order, kind="stable")
     key, rdoc = key[order], rdoc[order]
     filled = np.bincount(rdoc, minlength=len(size))
     rank = np.arange(len(key)) - np.repeat(np.cumsum(filled) - filled, filled)
@@ -134,7 +138,7 @@ def segment_keys(sets: np.ndarray, at: np.ndarray, percent: int, down: bool) ->
     keys, docs = [key[keep]], [rdoc[keep]]
     # sets with fewer filled segments than words to take: empty segments, in order of their tag
     for d in np.flatnonzero(use & (filled < np.minimum(take, k))).tolist():
-        empty = np.setdiff1d(np.arange(k[d]), seg[doc == d], assume_unique=False)
+        empty = np.setdiff1d(np.arange(k[d]), seg[doc == d])
         tags = np.sort(mix(mix(empty.astype(np.uint64) * np.uint64(64) + np.uint64(lv[d]))))
         more = tags[: int(take[d] - filled[d])]
         keys.append(more)
