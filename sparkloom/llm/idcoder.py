@@ -1,11 +1,12 @@
 """Adaptive context-mixing range coder for token ids, many independent blocks in lockstep.
 
 A block of up to ``BLOCK`` ids is coded alone, from fresh models, and carries a CRC-32 of its ids. For
-each id, the order-2 and order-1 contexts (the last two ids, the last id) predict one id each. Two
-adaptive probabilities, by the predictions' confidence and agreement, are mixed in the logistic domain
-by weights that learn, into the probability that the order-2 prediction is right, and if not, that the
-order-1 one is; one range-coder step codes which. A missed id is coded by the order-0 model as four
-hexadecimal digits, each under an adaptive distribution given the digits before.
+each id, the order-2 and order-1 contexts (the last two ids, the last id) predict one id each, and the
+order-0 model gives every id a share by its count in the block so far. Two adaptive probabilities, by
+the predictions' confidence and agreement, are mixed in the logistic domain by weights that learn, into
+the probability that the order-2 prediction is right, and if not, that the order-1 one is; what is left
+goes to order 0. One range-coder step codes the id from these three. The order-0 shares are renewed from
+the counts at set places of a block (``RENEW``).
 
 All arithmetic is on integers, so encoder and decoder agree on every machine. The blocks of a file are
 coded together, one id of every block at a time, with numpy over blocks.
@@ -17,11 +18,18 @@ import functools
 
 import numpy as np
 
-BLOCK = 4096
-SCALE_BITS = 15
-SCALE = 1 << SCALE_BITS
-_TOP, _MASK = 32, (1 << 48) - 1
-_SLOTS1, _SLOTS2 = 2048, 4096
+BLOCK = 8192
+#: Places in a block at which the order-0 shares are renewed.
+RENEW = (32, 128, 512, 1024, 2048, 3072, 4096, 6144)
+#: Bits of the shares of hits and misses, and of the order-0 shares within the misses.
+HIT_BITS, ZERO_BITS = 15, 20
+SCALE, ZERO = 1 << HIT_BITS, 1 << ZERO_BITS
+_ALL_BITS = HIT_BITS + ZERO_BITS
+#: The interval has 64 bits, of which 16 leave or enter at a time; it is kept wider than _NARROW.
+_U = np.uint64
+_TOP, _WORD, _NARROW, _STEP = _U(48), _U(16), _U(1 << 44), _U(_ALL_BITS)
+_SLOTS1, _SLOTS2 = 4096, 8192
+_COARSE = 256  # 256 * 256 ids
 
 
 @functools.cache
@@ -37,223 +45,217 @@ class _Mixer:
     """The probability of one decision per lane, from two adaptive probabilities."""
 
     def __init__(self, lanes: int, contexts: int):
-        self.p = np.full((2, lanes * contexts), 2048, np.int32)
-        self.w = np.full((2, lanes), 1 << 15, np.int32)
+        self.p, self.q = (np.full(lanes * contexts, 2048, np.int32) for _ in range(2))
+        self.w, self.v = (np.full(lanes, 1 << 15, np.int32) for _ in range(2))
         self.base = np.arange(lanes) * contexts
 
-    def predict(self, lane, one, two):
+    def predict(self, m: int, one, two):
         stretch, squash = _curves()
-        self.at = self.base[lane] + one, self.base[lane] + two
-        self.lane = lane
-        p = self.p[0][self.at[0]], self.p[1][self.at[1]]
-        self.s = stretch[p[0]], stretch[p[1]]
-        dot = (self.w[0][lane] * self.s[0] + self.w[1][lane] * self.s[1]) >> 16
-        self.out = squash[np.clip(dot, -2047, 2047) + 2048]
+        self.at = self.base[:m] + one, self.base[:m] + two
+        self.now = self.p[self.at[0]], self.q[self.at[1]]
+        self.s = stretch[self.now[0]], stretch[self.now[1]]
+        dot = (self.w[:m] * self.s[0] + self.v[:m] * self.s[1]) >> 16
+        self.out = squash[np.minimum(np.maximum(dot, -2047), 2047) + 2048]
         return self.out
 
-    def update(self, hit):
+    def update(self, m: int, hit):
         target = hit.astype(np.int32) << 12
         error = (target - self.out) * 6
-        for k in range(2):
-            self.w[k][self.lane] += (self.s[k] * error + (1 << 11)) >> 12
-            q = self.p[k][self.at[k]]
-            self.p[k][self.at[k]] = np.clip(q + ((target - q) >> 4), 1, 4095)
+        for w, s in ((self.w, self.s[0]), (self.v, self.s[1])):
+            w[:m] += (s * error + (1 << 11)) >> 12
+        for table, at, p in ((self.p, self.at[0], self.now[0]), (self.q, self.at[1], self.now[1])):
+            table[at] = np.minimum(np.maximum(p + ((target - p) >> 4), 1), 4095)
 
 
-class _Contexts:
-    """The order-2 and order-1 predictions of each lane."""
+def _search(table: np.ndarray, base: np.ndarray, lo: np.ndarray, end, target: np.ndarray) -> np.ndarray:
+    """The last place from lo on, before end, whose value is at most the target; there are up to 256 places."""
+    flat = table.reshape(-1)
+    for step in (128, 64, 32, 16, 8, 4, 2, 1):
+        probe = lo + step
+        ok = probe < end
+        ok &= flat[base + np.where(ok, probe, lo)] <= target
+        lo = np.where(ok, probe, lo)
+    return lo
 
-    def __init__(self, lanes: int):
-        self.n = lanes
+
+class _Models:
+    """The predictions of all three orders in each lane; the first m lanes are active."""
+
+    def __init__(self, lanes: int, width: int):
         self.id1, self.conf1 = np.zeros(lanes * _SLOTS1, np.int32), np.zeros(lanes * _SLOTS1, np.int8)
         self.id2, self.conf2 = np.zeros(lanes * _SLOTS2, np.int32), np.zeros(lanes * _SLOTS2, np.int8)
         self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.two, self.one = _Mixer(lanes, 128), _Mixer(lanes, 128)
-
-    def predict(self, lane):
-        """(order-2 id, order-1 id, scaled probability of each decision); confidence 0 predicts nothing."""
-        a, b = self.last[lane], self.last2[lane]
-        self.at1 = lane * _SLOTS1 + (((a * 40503) >> 3) & (_SLOTS1 - 1))
-        self.at2 = lane * _SLOTS2 + ((((a * 40503 + b) * 2654435761) >> 12) & (_SLOTS2 - 1))
+        self.two, self.one = _Mixer(lanes, 64), _Mixer(lanes, 32)
+        self.base1, self.base2 = np.arange(lanes) * _SLOTS1, np.arange(lanes) * _SLOTS2
+        self.width, self.row = width, np.arange(lanes) * width
+        self.counts = np.zeros((lanes, width), np.int16)
+        self.low = np.empty((lanes, width), np.int32)
+        self.low[:] = np.arange(width) * (ZERO // width)
+        self.coarse = self.low[:, ::_COARSE].copy()  # every 256th, small enough to stay in cache
+        self.seen = 0
+
+    def predict(self, m: int):
+        """(order-2 id, order-1 id, share of an order-2 hit, of any hit)."""
+        a, b = self.last[:m], self.last2[:m]
+        self.at1 = self.base1[:m] + (((a * 40503) >> 3) & (_SLOTS1 - 1))
+        self.at2 = self.base2[:m] + ((((a * 40503 + b) * 2654435761) >> 12) & (_SLOTS2 - 1))
         i1, c1, i2, c2 = self.id1[self.at1], self.conf1[self.at1], self.id2[self.at2], self.conf2[self.at2]
-        agree = (i1 == i2).astype(np.int32)
-        self.agree = agree
-        p2 = np.where(c2 > 0, self.two.predict(lane, c2 + 16 * agree, c1 + 16 * agree + 32), 0)
-        p1 = np.where((c1 > 0) & ((agree == 0) | (c2 == 0)), self.one.predict(lane, c1, np.minimum(c2, 15) + 16), 0)
-        return i2, i1, p2, p1
-
-    def update(self, lane, ids, hit2, hit1, p2, p1):
-        keep = self.two
-        target = hit2
-        keep.update(target)
-        self.one.update(hit1)
-        for ident, conf, at in ((self.id1, self.conf1, self.at1), (self.id2, self.conf2, self.at2)):
-            same = (ident[at] == ids) & (conf[at] > 0)
-            grown = np.where(same, np.minimum(conf[at] + 1, 15), conf[at] >> 1)
-            new = ~same & (grown == 0)
-            ident[at] = np.where(new, ids, ident[at])
-            conf[at] = np.where(new, 1, grown)
-        self.last2[lane] = self.last[lane]
-        self.last[lane] = ids
-
-
-class _Digits:
-    """The order-0 model: adaptive cumulative distributions of four hexadecimal digits."""
-
-    STEP = np.arange(1, 16) * (SCALE // 16)
-
-    def __init__(self, lanes: int):
-        self.tables = [np.broadcast_to(self.STEP.astype(np.int16), (lanes * 16**k, 15)).copy() for k in range(4)]
-        rank = np.arange(16)[:, None] <= np.arange(15)[None, :]
-        self.goal = np.where(rank, SCALE - 16 + np.arange(1, 16), np.arange(1, 16)).astype(np.int32)
-
-    def row(self, k, lane, before):
-        self.at = (k, lane * 16**k + before)
-        return self.tables[k][self.at[1]].astype(np.int32)
-
-    def update(self, row, digit):
-        k, at = self.at
-        self.tables[k][at] = row + ((self.goal[digit] - row) >> 5)
+        self.had = i1, c1, i2, c2
+        agree = i1 == i2
+        group = agree.astype(np.int8) << 4
+        p2 = self.two.predict(m, c2 + group, c1 + group + np.int8(32)) * (c2 > 0)
+        p1 = self.one.predict(m, c1, c2 + np.int8(16)) * ((c1 > 0) & (~agree | (c2 == 0)))
+        first = np.minimum(p2 << (HIT_BITS - 12), SCALE - 64)
+        second = np.where(p1 > 0, np.maximum(((SCALE - first) * p1) >> 12, 1), 0)
+        first = first.astype(np.int64)
+        return i2, i1, first, first + np.minimum(second, SCALE - first - 32)
+
+    def zero_share(self, m: int, ids):
+        """(low, high) of ids among the order-0 shares."""
+        at = self.row[:m] + ids
+        low = self.low.reshape(-1)[at]
+        high = np.where(ids + 1 < self.width, self.low.reshape(-1)[np.minimum(at + 1, self.low.size - 1)], ZERO)
+        return low, high
+
+    def zero_find(self, lanes, target):
+        """The id whose order-0 share holds the target, by binary search in every lane: among every 256th, then there."""
+        at = _search(self.coarse, lanes * self.coarse.shape[1], np.zeros(len(lanes), np.int64), self.coarse.shape[1], target)
+        return _search(self.low, self.row[lanes], at * _COARSE, np.minimum(self.width, (at + 1) * _COARSE), target)
+
+    def update(self, m: int, ids, hit2, hit1):
+        self.two.update(m, hit2)
+        self.one.update(m, hit1)
+        i1, c1, i2, c2 = self.had
+        for ident, conf, at, i, c in ((self.id1, self.conf1, self.at1, i1, c1), (self.id2, self.conf2, self.at2, i2, c2)):
+            same = (i == ids) & (c > 0)
+            grown = np.where(same, np.minimum(c + np.int8(1), np.int8(15)), c >> 1)
+            new = grown == 0
+            ident[at] = np.where(new, ids, i)
+            conf[at] = np.where(new, np.int8(1), grown)
+        self.last2[:m] = self.last[:m]
+        self.last[:m] = ids
+        self.counts.reshape(-1)[self.row[:m] + ids] += 1
+        self.seen += 1
+        if self.seen in RENEW:
+            spare = (ZERO - self.width) // self.seen
+            for l in range(m):
+                share = self.counts[l].astype(np.int32) * spare + 1
+                self.low[l, 1:] = np.cumsum(share[:-1])
+            self.coarse[:m] = self.low[:m, ::_COARSE]
 
 
 class _Coder:
-    """The interval of each lane: 48 bits, 16 leave or enter at a time."""
+    """The interval of each lane."""
 
     def __init__(self, lanes: int, words: np.ndarray, pos: np.ndarray, decode: bool):
-        self.lo, self.hi = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
+        self.lo, self.hi = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.words, self.pos, self.decode = words, pos, decode
         if decode:
-            self.x = np.zeros(lanes, np.int64)
-            for _ in range(3):
-                self.x = self.x << 16 | words[pos]
-                pos += 1
-
-    def target(self, lane):
-        lo = self.lo[lane]
-        self.step = (self.hi[lane] - lo + 1) >> SCALE_BITS
-        return np.minimum((self.x[lane] - lo) // self.step, SCALE - 1)
-
-    def code(self, lane, low, high):
-        """Narrow the lanes' intervals to [low, high) of SCALE; move whole words."""
-        lo, hi = self.lo[lane], self.hi[lane]
-        step = (hi - lo + 1) >> SCALE_BITS
-        hi = np.where(high == SCALE, hi, lo + step * high - 1)
-        lo = lo + step * low
-        while True:
-            straddle = ((lo ^ hi) >> _TOP != 0) & (hi - lo < 1 << 24)
-            if straddle.any():  # keep the larger side of the border, so that a word can leave
-                border = (hi >> _TOP) << _TOP
-                upper = straddle & (hi - border >= border - lo)
-                lo = np.where(upper, border, lo)
-                hi = np.where(straddle & ~upper, border - 1, hi)
-            out = np.flatnonzero((lo ^ hi) >> _TOP == 0)
-            if not len(out):
-                break
-            l = lane[out]
+            self.x = np.zeros(lanes, np.uint64)
+            for k in range(4):
+                self.x = self.x << _WORD | words[pos + k]
+            pos += 4
+
+    def target(self, m: int):
+        """Where the code lies, of 1 << _ALL_BITS."""
+        lo = self.lo[:m]
+        return np.minimum((self.x[:m] - lo) // ((self.hi[:m] - lo) >> _STEP), _U((1 << _ALL_BITS) - 1)).astype(np.int64)
+
+    def code(self, m: int, low, high):
+        """Narrow the first m lanes' intervals to [low, high) of 1 << _ALL_BITS; move whole words."""
+        lo, hi = self.lo[:m], self.hi[:m]
+        step = (hi - lo) >> _STEP
+        hi[:] = np.where(high == 1 << _ALL_BITS, hi, lo + step * high.astype(np.uint64) - _U(1))
+        lo += step * low.astype(np.uint64)
+        at = np.flatnonzero(((lo ^ hi) >> _TOP == 0) | (hi - lo < _NARROW))
+        while len(at):
+            l, h = lo[at], hi[at]
+            apart = (l ^ h) >> _TOP != 0  # narrow, but across a border: the larger side stays
+            if apart.any():
+                border = (h >> _TOP) << _TOP
+                upper = apart & (h - border >= border - l)
+                l = np.where(upper, border, l)
+                h = np.where(apart & ~upper, border - _U(1), h)
+            pos = self.pos[at]
             if self.decode:
-                self.x[l] = (self.x[l] << 16 & _MASK) | self.words[self.pos[l]]
+                self.x[at] = self.x[at] << _WORD | self.words[pos]
             else:
-                self.words[self.pos[l]] = lo[out] >> _TOP
-            self.pos[l] += 1
-            lo[out] = lo[out] << 16 & _MASK
-            hi[out] = hi[out] << 16 & _MASK | 0xFFFF
-        self.lo[lane], self.hi[lane] = lo, hi
+                self.words[pos] = l >> _TOP
+            self.pos[at] = pos + 1
+            l, h = l << _WORD, h << _WORD | _U(0xFFFF)
+            lo[at], hi[at] = l, h
+            at = at[((l ^ h) >> _TOP == 0) | (h - l < _NARROW)]
 
 
-def _shares(p2, p1):
-    """Cumulative shares of SCALE for order-2 hit, order-1 hit, miss; impossible hits have none."""
-    a = np.where(p2 > 0, np.minimum(p2 * (SCALE >> 12), SCALE - 64), 0)
-    b = np.where(p1 > 0, np.maximum(((SCALE - a) * p1) >> 12, 1), 0)
-    return a, a + np.minimum(b, SCALE - a - 32)
+def _bounds(first, hits, hit2, hit1, zero_low, zero_high):
+    """The coded range of each id: a hit's, or its order-0 share of what hits leave."""
+    left, base = SCALE - hits, hits << ZERO_BITS
+    low = np.where(hit2, 0, np.where(hit1, first << ZERO_BITS, base + left * zero_low))
+    high = np.where(hit2, first << ZERO_BITS, np.where(hit1, base, base + left * zero_high))
+    return low, high
 
 
 def encode(ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(ids, words) of each block of BLOCK ids, the last one shorter."""
+    """(ids, words) of each block of BLOCK ids, the last one shorter. The first word is the largest id."""
     n = len(ids)
     if n == 0:
         return []
     if int(ids.max()) >> 16 or int(ids.min()) < 0:
         raise ValueError("ids must be below 65536")
+    width = max(2, int(ids.max()) + 1)
     lanes = -(-n // BLOCK)
-    size = np.full(lanes, BLOCK)
-    size[-1] = n - BLOCK * (lanes - 1)
-    cap = BLOCK * 6 + 16
+    rest = n - BLOCK * (lanes - 1)
+    cap = BLOCK * 3 + 16  # a step narrows an interval by 35 bits at most
     words = np.zeros(lanes * cap, np.uint16)
-    coder = _Coder(lanes, words, np.arange(lanes) * cap, False)
-    contexts, digits = _Contexts(lanes), _Digits(lanes)
+    coder, models = _Coder(lanes, words, np.arange(lanes) * cap, False), _Models(lanes, width)
     pad = np.zeros(lanes * BLOCK, np.int32)
     pad[:n] = ids
-    pad = pad.reshape(lanes, BLOCK)
-    for t in range(int(size.max())):
-        lane = np.arange(lanes if t < size[-1] else lanes - 1)
-        now = pad[: len(lane), t]
-        i2, i1, p2, p1 = contexts.predict(lane)
-        a, b = _shares(p2, p1)
-        hit2 = (p2 > 0) & (now == i2)
-        hit1 = ~hit2 & (p1 > 0) & (now == i1)
-        coder.code(lane, np.where(hit2, 0, np.where(hit1, a, b)), np.where(hit2, a, np.where(hit1, b, SCALE)))
-        missed = np.flatnonzero(~hit2 & ~hit1)
-        if len(missed):
-            left, before = now[missed], np.zeros(len(missed), np.int64)
-            for k in range(4):
-                digit = left >> (12 - 4 * k) & 15
-                row = digits.row(k, missed, before)
-                pick = np.arange(len(row))
-                low = np.where(digit > 0, row[pick, np.maximum(digit - 1, 0)], 0)
-                high = np.where(digit < 15, row[pick, np.minimum(digit, 14)], SCALE)
-                coder.code(missed, low, high)
-                digits.update(row, digit)
-                before = before * 16 + digit
-        contexts.update(lane, now, hit2, hit1, p2, p1)
+    pad = np.ascontiguousarray(pad.reshape(lanes, BLOCK).T)
+    for t in range(BLOCK if lanes > 1 else rest):
+        m = lanes if t < rest else lanes - 1
+        now = pad[t, :m]
+        i2, i1, first, hits = models.predict(m)
+        hit2 = (first > 0) & (now == i2)
+        hit1 = ~hit2 & (hits > first) & (now == i1)
+        coder.code(m, *_bounds(first, hits, hit2, hit1, *models.zero_share(m, now)))
+        models.update(m, now, hit2, hit1)
     out = []
     for l in range(lanes):
-        at = int(coder.pos[l])
-        final = int(coder.lo[l]) + (1 << 31)  # any number in the interval; it is wider than this or the border word decides
-        if final > int(coder.hi[l]):
-            final = int(coder.hi[l])
-        tail = [final >> 32 & 0xFFFF, final >> 16 & 0xFFFF, final & 0xFFFF]
-        out.append((int(size[l]), np.concatenate([words[l * cap : at], np.array(tail, np.uint16)])))
+        final = (int(coder.lo[l]) + int(coder.hi[l])) // 2
+        tail = [final >> 48, final >> 32 & 0xFFFF, final >> 16 & 0xFFFF, final & 0xFFFF]
+        own = words[l * cap : int(coder.pos[l])]
+        out.append((BLOCK if l < lanes - 1 else rest, np.concatenate([np.array([width - 1], np.uint16), own, np.array(tail, np.uint16)])))
     return out
 
 
 def decode(blocks: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """The ids of all blocks, one after another."""
-    lanes = len(blocks)
-    if lanes == 0:
+    if not blocks:
         return np.zeros(0, np.int32)
     size = np.array([n for n, _ in blocks])
+    widths = np.array([int(w[0]) + 1 for _, w in blocks])
+    if (widths != widths[0]).any():  # blocks of several files
+        out = [decode([b]) for b in blocks]
+        return np.concatenate(out)
     order = np.argsort(-size, kind="stable")  # active lanes are a prefix
     size = size[order]
     start = np.concatenate([[0], np.cumsum([len(blocks[o][1]) for o in order])])
-    words = np.concatenate([*(blocks[o][1] for o in order), np.zeros(8, np.uint16)]).astype(np.int64)
-    coder = _Coder(lanes, words, start[:-1].copy(), True)
-    contexts, digits = _Contexts(lanes), _Digits(lanes)
-    out = np.zeros((lanes, int(size[0])), np.int32)
+    words = np.concatenate([*(blocks[o][1] for o in order), np.zeros(8, np.uint16)]).astype(np.uint64)
+    coder, models = _Coder(len(blocks), words, start[:-1] + 1, True), _Models(len(blocks), int(widths[0]))
+    out = np.zeros((int(size[0]), len(blocks)), np.int32)
     live = np.searchsorted(-size, -np.arange(int(size[0])), "left")
     for t, m in enumerate(live.tolist()):
-        lane = np.arange(m)
-        i2, i1, p2, p1 = contexts.predict(lane)
-        a, b = _shares(p2, p1)
-        x = coder.target(lane)
-        hit2 = x < a
-        hit1 = ~hit2 & (x < b)
-        coder.code(lane, np.where(hit2, 0, np.where(hit1, a, b)), np.where(hit2, a, np.where(hit1, b, SCALE)))
+        i2, i1, first, hits = models.predict(m)
+        x = coder.target(m)
+        hit2 = x < first << ZERO_BITS
+        hit1 = ~hit2 & (x < hits << ZERO_BITS)
         now = np.where(hit2, i2, i1)
         missed = np.flatnonzero(~hit2 & ~hit1)
         if len(missed):
-            before = np.zeros(len(missed), np.int64)
-            for k in range(4):
-                row = digits.row(k, missed, before)
-                x = coder.target(missed)
-                digit = (row <= x[:, None]).sum(1)
-                pick = np.arange(len(row))
-                low = np.where(digit > 0, row[pick, np.maximum(digit - 1, 0)], 0)
-                high = np.where(digit < 15, row[pick, np.minimum(digit, 14)], SCALE)
-                coder.code(missed, low, high)
-                digits.update(row, digit)
-                before = before * 16 + digit
-            now[missed] = before
-        out[:m, t] = now
-        contexts.update(lane, now, hit2, hit1, p2, p1)
+            h = hits[missed]
+            now[missed] = models.zero_find(missed, (x[missed] - (h << ZERO_BITS)) // (SCALE - h))
+        coder.code(m, *_bounds(first, hits, hit2, hit1, *models.zero_share(m, now)))
+        models.update(m, now, hit2, hit1)
+        out[t, :m] = now
     back = np.argsort(order, kind="stable")
-    return np.concatenate([out[b, : size[b]] for b in back.tolist()])
+    return np.concatenate([out[: size[b], b] for b in back.tolist()])

@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import idcoder
-from .common import materialize, shared_dir, slices, text_buffers, write_shared
+from .common import map_arrow, materialize, shared_dir, slices, text_buffers, write_shared
 from .pretokens import encoder
 
 MAGIC = b"SLID\x00\x00\x00\x01"
-FILE_IDS = 2_000_000
-#: Aimed-for text in one range of documents, in characters.
-RANGE_CHARS = 24 << 20
+FILE_IDS = 3_000_000
+#: Aimed-for text in one range of documents, in characters, and how many ranges there are at most. A range is written
+#: file by file, so its size does not bound memory.
+RANGE_CHARS, MAX_RANGES = 24 << 20, 50_000
+#: Ranges whose files' counts are summed together before the sums are.
+SPAN = 256
 
 
 def _packed(values: np.ndarray, kind: str) -> str:
@@ -56,7 +59,10 @@ def unpack_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     if data[:8] != MAGIC:
         raise ValueError("not a token-id file")
     n = struct.unpack_from("<Q", data, 8)[0]
-    head = json.loads(zlib.decompress(data[16 : 16 + n]))
+    try:
+        head = json.loads(zlib.decompress(data[16 : 16 + n]))
+    except zlib.error as e:
+        raise ValueError("the directory is damaged") from e
     sizes, words, crc = (_unpacked(head[k], "<u4") for k in ("ids", "words", "crc"))
     body = np.frombuffer(data, "<u2", offset=16 + n)
     ends = np.cumsum(words.astype(np.int64))
@@ -73,7 +79,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, id_col:
     """Write docs to files in folder (a shared one); returns the written manifest: part, file, path, n_ids."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(chars / RANGE_CHARS))
+    parts = min(MAX_RANGES, max(1, math.ceil(chars / RANGE_CHARS)))
     tie = F.xxhash64("text")
     rows = rows.withColumn("tie", tie).repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text")
 
@@ -104,7 +110,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, id_col:
         if doc_ids:
             yield flush()
 
-    return materialize(rows.mapInArrow(run, "part int, file int, path string, n_ids bigint"), "manifest")
+    return materialize(map_arrow(rows, run, "part int, file int, path string, n_ids bigint"), "manifest")
 
 
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame, kind: str = "bigint", with_ids: bool = False) -> DataFrame:
@@ -125,10 +131,13 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame, kind: str =
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"name string, id {kind}, within bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    back = spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(run, schema)
-    # a row per file: small against the data, and never gathered in one place but for this running sum of a few bytes each
-    order = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    offset = manifest.select(F.substring_index("path", "/", -1).alias("name"), F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    back = map_arrow(spark.read.format("binaryFile").load(folder).select("path", "content"), run, schema)
+    # running counts of files within spans of ranges, and of the at most MAX_RANGES / SPAN spans
+    files = manifest.withColumn("span", F.floor(F.col("part") / SPAN))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = files.groupBy("span").agg(F.sum("n_ids").alias("n_ids")).select("span", before(Window.orderBy("span")).alias("spans_before"))
+    files = files.withColumn("files_before", before(Window.partitionBy("span").orderBy("part", "file"))).join(spans, "span")
+    offset = files.select(F.substring_index("path", "/", -1).alias("name"), (F.col("files_before") + F.col("spans_before")).alias("before"))
     out = back.join(offset, "name").withColumn("start", F.col("before") + F.col("within"))
     return out.select("id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
