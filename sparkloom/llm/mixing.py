@@ -28,7 +28,7 @@ from .common import materialize
 #: The sources' own table comes to the driver; more sources than this are refused.
 MAX_SOURCES = 1_000_000
 #: Aimed-for documents in one (source, range) group.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,9 +70,58 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epo
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sized")
     plan, ranges = targets(sized, weights, max_epochs)
     bits = ranges.bit_length() - 1
-    h = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    # the first 60 bits of a digest, which SQL elsewhere can compute too
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("bigint")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # null is a key of its own
-    placed = sized.withColumn("key", key).withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    placed = sized.withColumn("key", key).withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 60 - bits) if bits else F.lit(0).cast("bigint"))
+    sums = placed.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
+    upto_bucket = F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    before = sums.select("key", "bucket", (upto_bucket - F.col("words")).alias("before"))
+    order = Window.partitionBy("key", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.withColumn("within", F.sum("size").over(order)).join(before, ["key", "bucket"]).join(plan.withColumn("key", key).drop("source"), "key")
+    run = materialize(run.select("id", "source", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("upto")), "run")
+    budget = plan.agg(F.sum("target")).first()[0] or 0.0
+    finish = [F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("upto") + e * F.col("source_size")) / F.col("target")) for e in range(max_epochs)]
+    # the merged queue: ranges of finish time and their words; then the order within the range that the budget ends in
+    queue = run.select("size", F.explode(F.array(*finish)).alias("finish")).where("finish < 2").withColumn("slot", F.floor(F.col("finish") * ranges).cast("bigint"))
+    spent, line = 0, -1.0
+    for r in sorted(queue.groupBy("slot").agg(F.sum("size").alias("words")).collect()):
+        if spent + r["words"] >= budget - 0.5:
+            inside = queue.where(F.col("slot") == r["slot"]).withColumn("sum", F.sum("size").over(Window.partitionBy("slot").orderBy("finish").rangeBetween(Window.unboundedPreceding, 0)))
+            crossing = inside.where(F.col("sum") + spent >= budget - 0.5).agg(F.min(F.struct("finish", (F.col("sum") - F.col("size") / 2).alias("half")))).first()[0]
+            line = crossing["finish"] if spent + crossing["half"] <= budget else math.nextafter(crossing["finish"], -1.0)
+            break
+        for i in over:
+            target[i] = float(max_epochs * sizes[i])
+        left -= sum(target[i] for i in over)
+        free -= over
+    return target
+
+
+def targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: int) -> tuple[DataFrame, int]:
+    """(source, source_size, target; the number of ranges to deal documents to). Weights go by code point, null last."""
+    spark = sized.sparkSession
+    stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(stats) > MAX_SOURCES:
+        raise ValueError("too many sources")
+    stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # Python compares by code point
+    w = [weights[i % len(weights)] for i in range(len(stats))]
+    got = fill([r["size"] for r in stats], w, max_epochs)
+    ranges = 1 << math.ceil(math.log2(max(1.0, sum(r["n"] for r in stats) / GROUP_ROWS)))
+    rows = [(r["source"], int(r["size"]), t) for r, t in zip(stats, got, strict=True)]
+    return spark.createDataFrame(rows, "source string, source_size bigint, target double"), ranges
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: id, size, source, source_size, target, taken (words), copies, finish (of the first copy)."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
+    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sized")
+    plan, ranges = targets(sized, weights, max_epochs)
+    bits = ranges.bit_length() - 1
+    # the first 60 bits of a digest, which SQL elsewhere can compute too
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # null is a key of its own
+    placed = sized.withColumn("key", key).withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 60 - bits) if bits else F.lit(0).cast("bigint"))
     sums = placed.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     upto_bucket = F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     before = sums.select("key", "bucket", (upto_bucket - F.col("words")).alias("before"))

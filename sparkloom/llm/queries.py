@@ -51,7 +51,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read_table(spark, sf_dir, "documents"))
+    return mix_sources(read_table(spark, sf_dir, "documents")).drop("finish")
 
 
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,32 @@ def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(read_table(spark, sf_dir, "documents"), bpe_path())
 
 
+OP1_SQL = """
+WITH h AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS s FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY s, n) AS first FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (((strpos('0123456789abcdef', substr(s, 1 + 5 * k // 4, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(s, 2 + 5 * k // 4, 1)) - 1) >> (3 - (5 * k) % 4)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+OP6_SQL = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS k FROM s GROUP BY source),
+w AS (SELECT *, CASE k % 3 WHEN 1 THEN 5e0 WHEN 2 THEN 2e0 ELSE 1e0 END AS w FROM src WHERE source_size > 0),
+o AS (SELECT *, CAST(sum(3 * source_size) OVER (ORDER BY 3e0 * source_size / w, k ROWS UNBOUNDED PRECEDING) AS DOUBLE) - 3e0 * source_size AS before, sum(w) OVER (ORDER BY 3e0 * source_size / w DESC, k DESC ROWS UNBOUNDED PRECEDING) AS rest, (SELECT CAST(sum(source_size) AS DOUBLE) FROM w) AS total FROM w),
+c AS (SELECT *, (total - before) * w / rest > 3 * source_size AS capped FROM o),
+l AS (SELECT (SELECT CAST(sum(source_size) AS DOUBLE) FROM c) - coalesce(sum(3e0 * source_size) FILTER (capped), 0) AS rest, sum(w) FILTER (NOT capped) AS weight FROM c),
+t AS (SELECT source, CASE WHEN capped THEN 3e0 * source_size ELSE l.rest * w / l.weight END AS target FROM c, l),
+u AS (SELECT s.*, src.source_size, coalesce(t.target, 0) AS target, sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM s JOIN src ON s.source IS NOT DISTINCT FROM src.source LEFT JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT doc_id, size, (upto + e * source_size) / target AS finish FROM u, (VALUES (0), (1), (2)) AS v(e) WHERE target > 0 AND size > 0),
+m AS (SELECT *, sum(size) OVER (ORDER BY finish RANGE UNBOUNDED PRECEDING) AS cum, (SELECT sum(target) FROM t) AS budget FROM q),
+x AS (SELECT min((finish, cum - size / 2e0 <= budget)) AS line FROM m WHERE cum >= budget - 0.5e0)
+SELECT doc_id, source, size, source_size, target, size * CAST(copies AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies
+FROM (SELECT u.*, CASE WHEN target > 0 AND size > 0 THEN CAST((upto / target) < line[1] OR (upto / target = line[1] AND line[2]) AS INTEGER) + CAST(((upto + source_size) / target) < line[1] OR ((upto + source_size) / target = line[1] AND line[2]) AS INTEGER) + CAST(((upto + 2 * source_size) / target) < line[1] OR ((upto + 2 * source_size) / target = line[1] AND line[2]) AS INTEGER) ELSE 0 END AS copies FROM u LEFT JOIN x ON true)
+"""
+
 OP4_SQL = r"""
 WITH u AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -98,4 +124,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_language_id, op3_token_counts, op4_url_filters, op5_jaccard_join, op6_mix_sources, op7_id_files, op8_topk, op9_nearest, op10_best_fit_pack)}
-ORACLES = {"op4_url_filters": OP4_SQL, "op8_topk": OP8_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op6_mix_sources": OP6_SQL, "op4_url_filters": OP4_SQL, "op8_topk": OP8_SQL}
