@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .common import drop_table, map_arrow, materialize, slices, text_buffers
-from .pretokens import mix
+from .pretokens import forget, mix
 from .shingles import segment_keys, shingle_sets, sketches
 
-#: Keys that a task sorts at once, keys of one partition after the shuffle, classes of one block of a key.
-CHUNK_KEYS, PART_KEYS, BLOCK = 1_500_000, 1_500_000, 1_000
+#: Keys that a task sorts at once, before the shuffle and, slot by slot, after it; partitions of slots at most; classes
+#: of one block of a key.
+CHUNK_KEYS, SLOT_KEYS, MAX_PARTS, BLOCK = 750_000, 400_000, 20_000, 1_000
 #: Bits of the filters that pick rows before a join; a fixed size, whatever the input's.
 FILTER_BITS = 1 << 25
 #: One text in so many is looked at to find common words, and how many of them share such a word.
@@ -90,6 +91,7 @@ def _sampled_words(percent: int):
 
 def _signatures(percent: int, common):
     def run(batches):
+        forget()
         seen: set[int] = set()
         last = lambda keys: _on(common.value, keys)
         for b in batches:
@@ -133,7 +135,7 @@ def _edges_batch(key, x, y, part):
 
 
 def _local_stars(parts: int):
-    """Per chunk of a task: edges to each key's smallest class, and that class alone, packed by partition."""
+    """Per chunk of a task: edges to each key's smallest class, and that class alone, packed by slot."""
 
     def flush(key, cid):
         key, cid, lead = _runs(key, cid)
@@ -172,20 +174,29 @@ _EDGES = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
 
 
 def _global_stars(batches):
-    held = []
+    """Edges to the smallest class of each key, of rows in order of their slot; edges of tasks pass through."""
+
+    def flush(held):
+        both = np.concatenate(held)
+        key, cid, lead = _runs(both[:, 0], both[:, 1])
+        other = np.flatnonzero(lead != np.arange(len(lead)))
+        if len(other):
+            yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(cid[other]), pa.array(cid[lead[other]])], schema=_EDGES)
+
+    held, slot = [], None
     for b in batches:
         edge = np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))
         if len(edge):
             yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(edge)) for k in (2, 3, 4)], schema=_EDGES)
-        held += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in b.column(1).drop_null().to_pylist()]
+        for s, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if s != slot and held:
+                yield from flush(held)
+                held = []
+            slot = s
+            if blob.is_valid:
+                held.append(np.frombuffer(blob.as_py(), np.int64).reshape(-1, 2))
     if held:
-        both = np.concatenate(held)
-        del held
-        key, cid, lead = _runs(both[:, 0], both[:, 1])
-        other = np.flatnonzero(lead != np.arange(len(lead)))
-        for i in range(0, len(other), 100_000):
-            o = other[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[o]), pa.array(cid[o]), pa.array(cid[lead[o]])], schema=_EDGES)
+        yield from flush(held)
 
 
 def hamming(a: bytes, b: bytes) -> int:
@@ -350,9 +361,10 @@ def _cross(percent: int, whole: bool):
         if not held:
             return
         t = pa.Table.from_batches(held)
-        pdf = t.to_pandas().sort_values(["key", "i", "j", "side", "n", "cid"], kind="stable")
-        key, i, j, side = (pdf[c].to_numpy() for c in ("key", "i", "j", "side"))
-        cid, comp, n, sketch = (pdf[c].to_numpy() for c in ("cid", "comp", "n", "s"))
+        cols = {c: t[c].to_numpy() for c in ("key", "i", "j", "side", "cid", "comp", "n")}
+        order = np.lexsort([cols[c] for c in ("cid", "n", "side", "j", "i", "key")])
+        key, i, j, side, cid, comp, n = (cols[c][order] for c in ("key", "i", "j", "side", "cid", "comp", "n"))
+        sketch = t["s"].take(pa.array(order)).to_pylist()
         start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         found: set[tuple[int, int]] = set()
         known: dict[tuple[int, int], float] = {}  # share of difference of pairs already looked at, infinite if too large
@@ -413,10 +425,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     common = share(_bitmap(common.select(_slot("key"))))
     sig = materialize(map_arrow(docs, _signatures(percent, common), f"id {kind}, n bigint, cid bigint, sketch binary, keys array<bigint>"), "signatures")
     total = sig.agg(F.sum(F.size("keys"))).first()[0] or 0
-    parts = max(1, math.ceil(total / PART_KEYS))
+    slots = max(1, math.ceil(total / SLOT_KEYS))
     keyed = sig.where(F.size("keys") > 0).select("cid", "keys")
-    stars = map_arrow(keyed, _local_stars(parts), "part int, blob binary, key bigint, x bigint, y bigint")
-    edges = materialize(map_arrow(stars.repartition(parts, "part"), _global_stars, "key bigint, x bigint, y bigint"), "edges")
+    stars = map_arrow(keyed, _local_stars(slots), "part int, blob binary, key bigint, x bigint, y bigint")
+    edges = materialize(map_arrow(stars.repartition(min(slots, MAX_PARTS), "part").sortWithinPartitions("part"), _global_stars, "key bigint, x bigint, y bigint"), "edges")
     join = _Join(docs, sig, percent)
 
     pairs = materialize(edges.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")), "pairs")

@@ -23,13 +23,12 @@ import dataclasses
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, text_buffers
-from .pretokens import LETTER, class_table, mix
+from .pretokens import LETTER, class_table, factorize, forget, mix
 
 ORDER, DOCS_PER_LANG, MAX_LANGS = 4, 600, 500
 BLANK = 32
@@ -38,7 +37,7 @@ UNKNOWN = "und"
 
 @functools.cache
 def lower_table() -> np.ndarray:
-    table = np.full(0x110000, BLANK, np.int64)
+    table = np.full(0x110000, BLANK, np.int32)
     for cp in np.flatnonzero(class_table() == LETTER).tolist():
         low = chr(cp).lower()
         table[cp] = ord(low) if len(low) == 1 else cp
@@ -49,7 +48,7 @@ def symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(symbols of all texts, offsets of the texts in them); each text starts with a blank."""
     points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
     at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
-    sym = np.insert(lower_table()[points], at[:-1], BLANK)
+    sym = np.insert(lower_table()[points], at[:-1], BLANK).astype(np.int64)
     at = at + np.arange(len(at))
     letter = sym != BLANK
     keep = letter.copy()
@@ -122,7 +121,7 @@ class Models:
             scored = np.ones(len(sym), bool)
             scored[at[:-1]] = False
             full = functools.reduce(lambda h, c: mix(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1)), cols, np.full(len(sym), 7, np.uint64))
-            codes, distinct = pd.factorize(full)
+            codes, distinct = factorize(full)
             first = np.zeros(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             own = [c[first] for c in cols]
@@ -142,12 +141,12 @@ class Models:
         return best, score, low, (count <= 0) | (low > limit[best])
 
 
-def train(counts: pd.DataFrame, langs: list[str]) -> Models:
-    """Kneser-Ney models from top-order n-gram counts: columns lang, s0 (newest) .. s{ORDER-1}, n."""
+def train(counts, langs: list[str]) -> Models:
+    """Kneser-Ney models from top-order n-gram counts, a pandas table: columns lang, s0 (newest) .. s{ORDER-1}, n."""
     names = [f"s{i}" for i in range(ORDER)]
     vocab = counts["s0"].nunique() + 1
     model = Models(langs, -float(np.log2(vocab)), [], [])
-    own: dict[int, dict[str, pd.DataFrame]] = {ORDER: {x: counts[counts["lang"] == x][[*names, "n"]].reset_index(drop=True) for x in langs}}
+    own = {ORDER: {x: counts[counts["lang"] == x][[*names, "n"]].reset_index(drop=True) for x in langs}}
     for k in range(ORDER - 1, 0, -1):  # how many different symbols stand before each shorter n-gram
         own[k] = {x: t.groupby(names[:k], as_index=False).agg(n=("n", "size")) for x, t in own[k + 1].items()}
     for k in range(1, ORDER + 1):
@@ -206,10 +205,10 @@ def _count_grams(batches):
             sym, at = symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             keep = np.ones(len(sym), bool)
             keep[at[:-1]] = False
-            t = pd.DataFrame(dict(zip(names, (c[keep] for c in histories(sym, at)), strict=True)))
-            t["lang"] = np.repeat(langs[i:j], np.diff(at))[keep]
-            t = t.groupby(["lang", *names], as_index=False).size()
-            yield pa.RecordBatch.from_arrays([pa.array(t["lang"], pa.string()), *(pa.array(t[c], pa.int64()) for c in names), pa.array(t["size"], pa.int64())], ["lang", *names, "n"])
+            cols = [pa.array(c[keep]) for c in histories(sym, at)]
+            t = pa.Table.from_arrays([pa.array(np.repeat(langs[i:j], np.diff(at))[keep], pa.string()), *cols], ["lang", *names])
+            t = t.group_by(["lang", *names]).aggregate([([], "count_all")]).rename_columns({"count_all": "n"}).select(["lang", *names, "n"])
+            yield from t.combine_chunks().to_batches()
 
 
 def _entropies(model):
@@ -260,6 +259,7 @@ def identify(docs: DataFrame, model: Models | None, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        forget()
         langs = np.asarray([*shared.value.langs, UNKNOWN], object)
         for b in batches:
             raw, offsets = text_buffers(b.column(1))
@@ -280,6 +280,7 @@ def accepted(docs: DataFrame, model: Models | None, text_col: str = "text") -> D
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
+        forget()
         for b in batches:
             raw, offsets = text_buffers(b.column(at))
             for i, j in slices(offsets):

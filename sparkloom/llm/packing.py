@@ -19,8 +19,8 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,9 +116,12 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 def _pack(capacity: int, final: bool):
     """Packs one partition. kept: bins that stay; the others' pieces go to the next round."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
-        lengths = pdf["length"].to_numpy(np.int64)
+    def run(t: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        if pa.types.is_nested(t.schema.field("id").type):  # has no order in Arrow; the checksum stands for it
+            order.pop(1)
+        t = t.take(pc.sort_indices(t, sort_keys=order))
+        lengths = t["length"].to_numpy()
         b, offset, bins = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(b, lengths, bins)
         gap = bins - lower_bound(lengths, capacity)
@@ -126,10 +129,9 @@ def _pack(capacity: int, final: bool):
         if not final:
             # the last bin of any partition may be loose; a gap opens as many bins more, loosest first, with room to rearrange
             loose = np.argsort(fill, kind="stable")
-            n = 1 + 8 * gap
-            open_[loose[:n]] = True
+            open_[loose[: 1 + 8 * gap]] = True
             open_ &= fill < capacity
-        return pdf.assign(bin=b, offset=offset, kept=~open_[b], gap=gap)
+        return t.append_column("bin", pa.array(b)).append_column("offset", pa.array(offset)).append_column("kept", pa.array(~open_[b])).append_column("gap", pa.array(np.full(len(b), gap)))
 
     return run
 
@@ -146,7 +148,7 @@ def best_fit_pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
         parts = max(1, math.ceil(n / PARTITION_PIECES))
         final = r == ROUNDS or parts == 1
         part = F.pmod(F.xxhash64(F.lit(r), "id", "piece", "start", "ids_crc32"), F.lit(parts)).cast("int")
-        packed = materialize(todo.select(*cols, part.alias("part")).groupBy("part").applyInPandas(_pack(capacity, final), schema), f"round{r}")
+        packed = materialize(todo.select(*cols, part.alias("part")).groupBy("part").applyInArrow(_pack(capacity, final), schema), f"round{r}")
         # sequence ids: even ones for packed bins, numbered by round and partition
         sequence = ((F.col("bin") * F.lit(parts) + F.col("part")) * F.lit(ROUNDS + 1) + F.lit(r)) * 2
         done.append(packed.where("kept").select(*cols, sequence.alias("sequence_id"), "offset"))

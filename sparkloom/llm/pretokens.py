@@ -14,7 +14,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 
@@ -145,6 +145,18 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h
 
 
+def factorize(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each value's first equal one, the distinct values), in order of appearance."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy()
+
+
+def forget() -> None:
+    """Drop what encoders keep in this worker; operators that encode nothing call it for the memory."""
+    encoder.cache_clear()
+    tokenizer.cache_clear()
+
+
 @functools.cache
 def tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -155,7 +167,7 @@ def tokenizer(path: str):
 class IdEncoder:
     """Ids of whole texts as the tokenizers library gives them, without special tokens added."""
 
-    LIMIT = 250_000  # distinct pieces kept; beyond, the memory starts anew
+    LIMIT = 150_000  # distinct pieces kept; beyond, the memory starts anew
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
@@ -204,7 +216,7 @@ class IdEncoder:
         starts = np.flatnonzero(boundaries(raw, offsets))
         ends = np.append(starts[1:], len(raw))
         keys = span_hashes(raw, starts, ends)
-        codes, distinct = pd.factorize(keys)
+        codes, distinct = factorize(keys)
         if len(self.known) + len(distinct) > self.LIMIT:
             self.clear()
         known = self.known
