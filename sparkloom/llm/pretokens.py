@@ -167,7 +167,7 @@ def tokenizer(path: str):
 class IdEncoder:
     """Ids of whole texts as the tokenizers library gives them, without special tokens added."""
 
-    LIMIT = 150_000  # distinct pieces kept; beyond, the memory starts anew
+    LIMIT = 600_000  # distinct pieces kept, some 40 bytes each; beyond, the memory starts anew
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
@@ -175,16 +175,16 @@ class IdEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, number of each one's piece
         self.ids = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.off = np.zeros(1 << 14, np.int64)
-        self.len = np.zeros(1 << 14, np.int64)
+        self.used = self.pieces = 0
+        self.off, self.len = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
-    def _add(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encode new pieces: those without white space alone in one text, a line each, as a line end never joins its neighbours."""
         lined = [bool(p.strip()) and (p.isascii() or bool(p.decode().strip())) for p in pieces]
-        keys = [k for k, x in zip(keys, lined, strict=True) if x] + [k for k, x in zip(keys, lined, strict=True) if not x]
+        split = np.asarray(lined, bool)
+        keys = np.concatenate([keys[split], keys[~split]])
         text = b"\n".join([p for p, x in zip(pieces, lined, strict=True) if x] + [b""]).decode()
         ids = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
         cut = np.flatnonzero(ids == self.newline)
@@ -193,7 +193,7 @@ class IdEncoder:
         blank = self.tok.encode_batch([p.decode() for p, x in zip(pieces, lined, strict=True) if not x], add_special_tokens=False)
         lens = np.concatenate([np.diff(cut, prepend=-1) - 1, [len(e.ids) for e in blank]]).astype(np.int64)
         ids = np.concatenate([np.delete(ids, cut), *(np.asarray(e.ids, np.int32) for e in blank)])
-        at = len(self.known)
+        at = self.pieces
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while at + len(keys) > len(self.off):
@@ -202,7 +202,18 @@ class IdEncoder:
         self.len[at : at + len(keys)] = lens
         self.off[at : at + len(keys)] = self.used + np.cumsum(lens) - lens
         self.used += len(ids)
-        self.known.update(zip(keys, range(at, at + len(keys)), strict=True))
+        self.pieces += len(keys)
+        order = np.argsort(keys)
+        where = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, where, keys[order])
+        self.entry = np.insert(self.entry, where, at + order.astype(np.int32))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's piece, -1 where it is not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.entry[at], -1)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of the texts in them)."""
@@ -217,19 +228,17 @@ class IdEncoder:
         ends = np.append(starts[1:], len(raw))
         keys = span_hashes(raw, starts, ends)
         codes, distinct = factorize(keys)
-        if len(self.known) + len(distinct) > self.LIMIT:
+        if self.pieces + len(distinct) > self.LIMIT:
             self.clear()
-        known = self.known
-        listed = distinct.tolist()
-        entries = list(map(known.get, listed))
-        new = [i for i, e in enumerate(entries) if e is None]
-        if new:
+        found = self._find(distinct)
+        new = np.flatnonzero(found < 0)
+        if len(new):
             where = np.full(len(distinct), -1, np.int64)
             where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             at = where[new]
-            self._add([listed[i] for i in new], [raw[p:q].tobytes() for p, q in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            entries = [known[k] for k in listed]
-        entry = np.asarray(entries, np.int64)[codes]
+            self._add(distinct[new], [raw[p:q].tobytes() for p, q in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            found = self._find(distinct)
+        entry = found[codes]
         lens = self.len[entry]
         total = np.concatenate([[0], np.cumsum(lens)])
         ids = self.ids[np.repeat(self.off[entry] - total[:-1], lens) + np.arange(total[-1])]
