@@ -7,14 +7,18 @@ language, and one of context hashes with the back-off weights. A text's cross-en
 language is divided by its length; the lowest wins.
 
 The score is the posterior of the winner at a temperature fitted on documents kept apart from
-training. A text is rejected if it has no letter, or if its cross-entropy exceeds the most that any of
-those documents had under its own language by ``margin`` bits: it is then in none of the languages.
+training. A text is rejected if it has no letter, or if it is in none of the languages. Its excess is the
+cross-entropy beyond the most that any of those documents had under its own language and ``margin``
+bits more, times its symbols; it is in none if that is more bits than any labelled row of the input has
+whose label is its winner, and more than ``SIGNIFICANT``. So a short text with an odd word stays, and so
+does every labelled row that is found to be of its language.
 
 Training uses at most about ``docs_per_lang`` whole documents of each language, chosen by a hash of
 the id (a documented bound; languages are at most ``MAX_LANGS``). Every document is scored whole. Null
 and letterless texts are ``und`` with score 0, as are all texts where nothing can be learned. Rows
-without a label or id are not learned from. Repeated rows are scored alike. Columns besides id, text
-and label are not read, and the label is read for training only.
+without a label or id are not learned from; those without an id still count for the excess. Repeated
+rows are scored alike. Columns besides id, text and label are not read, and the label is read for
+training and the excess only.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from .common import map_arrow, slices, text_buffers
 from .pretokens import LETTER, class_table, factorize, forget, mix
 
 ORDER, DOCS_PER_LANG, MAX_LANGS = 4, 600, 500
+#: Bits of excess that are no evidence yet, and what sums in another order may differ by.
+SIGNIFICANT, ROUNDING = 64.0, 0.01
 BLANK = 32
 UNKNOWN = "und"
 
@@ -92,6 +98,7 @@ class Models:
     contexts: list[tuple[np.ndarray, np.ndarray]]  # by order - 1: sorted hashes, log2 back-off weights by language
     temperature: float = 1.0
     limits: np.ndarray | None = None
+    allowed: np.ndarray | None = None  # bits of excess by language
 
     def log_probs(self, k: int, grams: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
         """log2 P of each n-gram of order k under each language; grams and contexts are hash chains."""
@@ -137,8 +144,15 @@ class Models:
         low = entropy[np.arange(len(best)), best]
         gap = (entropy - low[:, None]) * (np.log(2) * self.temperature * np.maximum(count, 1)[:, None])
         score = 1.0 / np.exp(-np.minimum(gap, 700.0)).sum(1)
-        limit = np.full(len(self.langs), np.inf) if self.limits is None else self.limits
-        return best, score, low, (count <= 0) | (low > limit[best])
+        far = np.zeros(len(best), bool)
+        if self.limits is not None:
+            allowed = np.full(len(self.langs), SIGNIFICANT) if self.allowed is None else self.allowed
+            far = self.excess(best, low, count) > allowed[best]
+        return best, score, low, (count <= 0) | far
+
+    def excess(self, best: np.ndarray, low: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Bits of each text beyond what its winner's limit gives to its symbols."""
+        return (low - self.limits[best]) * count
 
 
 def train(counts, langs: list[str]) -> Models:
@@ -222,6 +236,27 @@ def _entropies(model):
     return run
 
 
+def _most_excess(model):
+    """The most excess of the rows of a batch whose label is their winner, by language."""
+
+    def run(batches):
+        forget()
+        langs = np.asarray(model.value.langs, object)
+        for b in batches:
+            raw, offsets = text_buffers(b.column(0))
+            label = np.asarray(b.column(1).to_pylist(), object)
+            most: dict[str, float] = {}
+            for i, j in slices(offsets):
+                e, n = model.value.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                best, _, low, _ = model.value.decide(e, n)
+                over = model.value.excess(best, low, n)
+                for r in np.flatnonzero((langs[best] == label[i:j]) & (n > 0) & (over > 0)).tolist():
+                    most[label[i + r]] = max(most.get(label[i + r], 0.0), float(over[r]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.string()), pa.array(list(most.values()), pa.float64())], ["lang", "excess"])
+
+    return run
+
+
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, margin: float = 1.5) -> Models | None:
     """Models learned from docs(id, text, lang); None where there is nothing to learn from."""
     sample, langs = _sample(docs, docs_per_lang)
@@ -247,6 +282,11 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, margin: float = 1.5
             loss.append(float((np.log(np.exp(np.maximum(z, -700)).sum(1)) - z[np.arange(len(y)), y]).mean()))
         model.temperature = float(grid[int(np.argmin(loss))])
         model.limits = np.array([own[y == i].max() + margin if (y == i).any() else own.max() + margin for i in range(len(langs))])
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
+        most = {r["lang"]: r["excess"] for r in map_arrow(rows, _most_excess(shared), "lang string, excess double").groupBy("lang").agg(F.max("excess").alias("excess")).collect()}
+        shared.unpersist()
+        model.allowed = np.array([max(SIGNIFICANT, most.get(x, 0.0) + ROUNDING) for x in langs])
     return model
 
 

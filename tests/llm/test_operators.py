@@ -16,7 +16,7 @@ from sparkloom.llm.ann import nearest
 from sparkloom.llm.common import read_table
 from sparkloom.llm.idfiles import id_round_trip
 from sparkloom.llm.jaccard import jaccard_components
-from sparkloom.llm.language_id import fit, identify
+from sparkloom.llm.language_id import accepted, fit, identify
 from sparkloom.llm.mixing import fill, mix_sources
 from sparkloom.llm.packing import best_fit_decreasing, best_fit_pack, cut, lower_bound
 from sparkloom.llm.token_counts import token_counts, transducer
@@ -124,6 +124,21 @@ def test_language_id_odd(spark):
     assert {r["lang_pred"] for r in identify(odd, None).collect()} == {"und"}
 
 
+def test_language_id_keeps_its_own(spark):
+    """No row whose prediction is its label is rejected, however few texts the limit rests on; far ones are."""
+    text = {"en": "the cat and the dog went into the house with them ", "de": "der hund und die katze gingen in das haus mit ihnen "}
+    rows = [(i, text[lang] * (1 + i % 3), lang) for i, lang in enumerate(["en", "de"] * 40)]
+    odd = [(1000, "der hund fbcadeebfdcabbedfaceb und qxzvjwkqpyx", "de"), (1001, "the dog " + "zqxjvkwyqpzb " * 12, "en"), (None, "the cat " + "vqxzjkwpyqbz " * 14, "en")]
+    far = [(2000, "жзшч ъыфх цщюя " * 300, None)]
+    docs = spark.createDataFrame([*rows, *odd, *far], "doc_id bigint, text string, lang string")
+    model = fit(docs.withColumnRenamed("doc_id", "id"), docs_per_lang=30)
+    out = {r["doc_id"]: r for r in identify(docs, model).collect()}
+    wanted = [(i, lang) for i, _, lang in [*rows, *odd] if out[i]["lang_pred"] == lang]
+    assert {1000, 1001, None} & {i for i, _ in wanted} and all(not out[i]["rejected"] for i, _ in wanted)
+    assert any(out[i]["bits_per_char"] > model.limits[model.langs.index(lang)] for i, lang in wanted) and out[2000]["rejected"]
+    assert {r["doc_id"] for r in accepted(docs, model).collect()} == {i for i, r in out.items() if not r["rejected"]} >= {i for i, _ in wanted}
+
+
 # --- 3 ---
 
 
