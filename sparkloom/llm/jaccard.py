@@ -18,6 +18,10 @@ components. Classes of a key that these links leave in different components are
 each other, in blocks of bounded size by sketch, and verified too. So every link that could join two
 components is found, and no group of copies is ever expanded into its pairs.
 
+With ``links`` every link is found besides: as both its ends are in one component, the classes of each
+component are all compared with each other, in blocks of bounded size and on the sets themselves. Each
+text's links are counted where they are found, so that pairs never become rows.
+
 Where a large table is joined with a few rows of it, a bitmap of fixed size drops most others first.
 
 Null and empty texts have empty sets and are linked with nothing. Rows with a null id take part, but
@@ -42,6 +46,8 @@ from .shingles import segment_keys, shingle_sets, sketches
 #: Keys that a task sorts at once, before the shuffle and, slot by slot, after it; partitions of slots at most; classes
 #: of one block of a key.
 CHUNK_KEYS, SLOT_KEYS, MAX_PARTS, BLOCK = 750_000, 400_000, 20_000, 1_000
+#: Hashes of one block of a component's sets.
+BLOCK_HASHES = 1_000_000
 #: Bits of the filters that pick rows before a join; a fixed size, whatever the input's.
 FILTER_BITS = 1 << 25
 #: One text in so many is looked at to find common words, and how many of them share such a word.
@@ -408,6 +414,69 @@ def _cross(percent: int, whole: bool):
     return run
 
 
+def _links(percent: int):
+    """(cid, links): how many rows each class is linked with in other classes, for each (label, i, j) of a partition."""
+
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        cols = {c: t[c].to_numpy() for c in ("label", "i", "j", "side", "cid", "n", "m")}
+        order = np.lexsort([cols[c] for c in ("cid", "n", "side", "j", "i", "label")])
+        label, i, j, side, cid, n, m = (cols[c][order] for c in ("label", "i", "j", "side", "cid", "n", "m"))
+        blobs = t["s"].combine_chunks()
+        start = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        links = np.zeros(len(cid), np.int64)
+        for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(label)], strict=True):
+            mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            same = mid == hi  # a block with itself
+            _, code = np.unique(np.concatenate([np.frombuffer(blobs[r].as_buffer(), np.uint64) for r in order[lo:hi].tolist()]), return_inverse=True)
+            at = np.concatenate([[0], np.cumsum(n[lo:hi])])
+            mark = np.zeros(len(code), np.int32)
+            for a in range(lo, mid):
+                b0, b1 = (a + 1, mid) if same else (mid, hi)
+                # sizes ascend, so that those in reach are a range
+                b0, b1 = b0 + int(np.searchsorted(n[b0:b1], -(-n[a] * percent // 100))), b0 + int(np.searchsorted(n[b0:b1], n[a] * 100 // percent, "right"))
+                if b0 >= b1:
+                    continue
+                own = code[at[a - lo] : at[a - lo + 1]]
+                mark[own] = 1
+                shared = np.add.reduceat(mark[code[at[b0 - lo] : at[b1 - lo]]], at[b0 - lo : b1 - lo] - at[b0 - lo], dtype=np.int64)
+                mark[own] = 0
+                found = np.flatnonzero(100 * shared >= percent * (n[a] + n[b0:b1] - shared)) + b0
+                links[a] += m[found].sum()
+                links[found] += m[a]
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(links[some])], ["cid", "links"])
+
+    return run
+
+
+def _all_links(join: _Join, label: DataFrame) -> DataFrame:
+    """cid, m (its rows), links (rows of other classes that it is linked with); label (cid, label) has all components."""
+    rows = join.sig.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("m")).join(label, "cid")
+    rows = materialize(rows, "rows")
+    size = rows.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all")).where("c > 1")
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("all") / BLOCK_HASHES)).cast("int")
+    asked = materialize(rows.join(size.select("label", blocks.alias("blocks")), "label"), "asked")
+    if asked.isEmpty():
+        return rows.select("cid", "m", F.lit(0).cast("bigint").alias("links"))
+    named = join.classes_named(asked.select("cid"))
+    texts = join.docs.select("text", F.xxhash64("id").alias("h"))
+    sets = map_arrow(texts, _sets_of(join.share(_bitmap(named.select(_slot("h"))))), "cid bigint, hashes binary").where("cid is not null")
+    sets = materialize(sets.join(asked.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("hashes").alias("s")), "sets")
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    pair = lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("side"))
+    grid = asked.withColumn("block", block).withColumn("g", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
+    grid = grid.select("label", "g.*", "cid", "n", "m").join(sets, "cid")
+    parts = max(1, math.ceil((asked.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) / (2 * BLOCK_HASHES)))
+    found = map_arrow(grid.repartition(parts, "label", "i", "j"), _links(join.percent), "cid bigint, links bigint")
+    found = materialize(found.groupBy("cid").agg(F.sum("links").alias("links")), "found")
+    drop_table(sets)
+    return rows.select("cid", "m").join(found, "cid", "left").select("cid", "m", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 #: Keys of so many classes are first looked at by one key per class, in so many rounds, so that large groups
 #: come together before all that is left between components is compared.
 LARGE, FOREST_ROUNDS = 32, 2
@@ -415,8 +484,8 @@ LARGE, FOREST_ROUNDS = 32, 2
 PART_ROUNDS = 2
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id for every row."""
+def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """id_col, n_shingles, component_id for every row, and with links n_links: how many other rows it is linked with."""
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     share = docs.sparkSession.sparkContext.broadcast
@@ -465,5 +534,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     first = materialize(first, "first")
     name = materialize(first.groupBy("label").agg(F.min("first").alias("component_id")), "name")
     named = materialize(first.join(name, "label").select("cid", "component_id"), "named")
-    out = sig.select("id", "n", "cid").join(named, "cid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    own = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")]
+    if links:
+        named = named.join(_all_links(join, first.select("cid", "label")), "cid")
+        own.append(F.coalesce(F.col("m") - 1 + F.col("links"), F.lit(0)).alias("n_links"))
+    return sig.select("id", "n", "cid").join(named, "cid", "left").select(*own)

@@ -47,7 +47,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read_table(spark, sf_dir, "documents"))
+    return jaccard_components(read_table(spark, sf_dir, "documents"), links=True)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

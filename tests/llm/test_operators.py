@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import idcoder, idfiles, pretokens, queries
+from sparkloom.llm import idcoder, idfiles, jaccard, pretokens, queries
 from sparkloom.llm.ann import nearest
 from sparkloom.llm.common import read_table
 from sparkloom.llm.idfiles import id_round_trip
@@ -263,6 +263,37 @@ def test_jaccard_hot_group(spark):
     assert sorted(tuple(x) for x in jaccard_components(docs).collect()) == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("blocks", [(1000, 1_000_000), (7, 900)])
+def test_jaccard_links(spark, blocks, monkeypatch):
+    """Every link is counted, within components too: near copies, a chain, equal texts, odd rows."""
+    monkeypatch.setattr(jaccard, "BLOCK", blocks[0])
+    monkeypatch.setattr(jaccard, "BLOCK_HASHES", blocks[1])
+    r = random.Random(13)
+    words = [f"w{i}" for i in range(500)]
+    base, chain = [r.choice(words) for _ in range(150)], [r.choice(words) for _ in range(300)]
+    texts = [" ".join(f"n{i}" if k == i or i % 3 == 0 and k == 3 * i else w for k, w in enumerate(base)) for i in range(40)]
+    texts += [" ".join(chain[10 * i : 10 * i + 120]) for i in range(15)]
+    texts += [texts[0], texts[0], texts[41], "a b", "A B", "one two three", *[t for t in ODD if t is None or len(t) < 1000]]
+    rows = [*enumerate(texts), (None, "a b")]
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").lower())
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = [sum(linked(a, b) for k, b in enumerate(sets) if k != i) for i, a in enumerate(sets)]
+    same = [sum(a == b and bool(a) for k, b in enumerate(sets) if k != i) for i, a in enumerate(sets)]
+    assert sum(want) > sum(same) + 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = [tuple(x) for x in jaccard_components(docs, links=True).select(F.coalesce("doc_id", F.lit(-1)), "n_shingles", F.coalesce("component_id", F.lit(-1)), "n_links").collect()]
+    brute = [(-1 if d is None else d, n, -1 if c is None else c, k) for (d, n, c), k in zip(brute_components(rows), want, strict=True)]
+    assert sorted(out) == sorted(brute)
+    assert jaccard_components(docs.limit(0), links=True).count() == 0
+
+
+def test_jaccard_query_gives_links(spark, sf):
+    assert queries.op5_jaccard_join(spark, sf).where("n_links > 0").count() > 0
+
+
 # --- 6 ---
 
 
