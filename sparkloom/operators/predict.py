@@ -18,6 +18,9 @@ RE_QUESTION = r"(?i)^\s*(what|which|where|when|who|how|why|do you (?:have|know|s
 RE_ANSWER = r"(?i)^\s*(yes|no|yep|nope|sure|here(?:'s| is)|found it|answer|confirmed|approved|signed|re:|regarding)\b|https?://"
 HARDNESS = {"hard": 1.0, "medium": 0.7, "soft": 0.35}
 
+#: Recent documents that an old one is compared with at once.
+ANCHOR_BLOCK = 256
+
 
 def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(text_of(c), r"\s+"), lambda w: w != ""))
@@ -79,12 +82,16 @@ def follow_ups(docs: DataFrame, now: Column, following: int = 2, text: str = "bo
 def resurfacing(vectors: DataFrame, recent: DataFrame, now: Column, dormant_days: int = 90, floor: float = 0.30, least_chars: int = 40) -> DataFrame:
     """_id, similarity, days, score of old documents (_id, ts, chars, vec) close to one of the recent ones (vec).
 
-    The recent documents are a user's anchors, a handful; they are limited to 1000 and broadcast.
+    Every recent document counts, however many; they come in blocks of about ``ANCHOR_BLOCK``, and the largest
+    similarity of each block is all that is kept of it.
     """
     days = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86_400_000_000).cast("int")
     old = vectors.withColumn("days", days).where((F.col("days") > dormant_days) & (F.col("chars") > least_chars))
-    anchors = F.broadcast(recent.select(F.col("vec").alias("anchor")).limit(1000))
-    best = old.crossJoin(anchors).groupBy("_id", "days").agg(F.max(cosine("vec", "anchor")).alias("similarity")).where(F.col("similarity") >= floor)
+    anchors = recent.select(F.col("vec").alias("anchor"))
+    blocks = anchors.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / ANCHOR_BLOCK)).alias("blocks"))
+    anchors = anchors.crossJoin(blocks).groupBy(F.pmod(F.xxhash64("anchor", F.monotonically_increasing_id()), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("anchor")).alias("anchors"))
+    near = old.crossJoin(anchors.select("anchors")).select("_id", "days", F.array_max(F.transform("anchors", lambda a: cosine(F.col("vec"), a["anchor"]))).alias("similarity"))
+    best = near.groupBy("_id", "days").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= floor)
     return best.withColumn("score", F.col("similarity") * (1 + F.least(F.lit(0.5), F.col("days") / 400.0)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.engine import Workspace
 from sparkloom.operators import documents as D
+from sparkloom.operators import predict as P
 from sparkloom.schema import RAW
 from sparkloom.sources import normalize as M
 from sparkloom.sources.datasource import EnvelopeSource, write_envelopes
@@ -159,3 +160,13 @@ def test_throttle():
     r.reward()
     assert abs(r.rate - 2.2) < 1e-9
     assert Backoff().delay(0, 7) == 7 and Backoff().again(0, 503) and not Backoff().again(0, 404) and not Backoff().again(5, 429)
+
+
+def test_resurfacing_takes_all_anchors(spark):
+    """The only anchors that are close stand after more than 1000 others."""
+    rows = [(1, dt.datetime(2026, 1, 1), 100, [1.0, 0.0, 0.0]), (2, dt.datetime(2026, 1, 1), 100, [0.0, 1.0, 0.0]), (3, dt.datetime(2026, 9, 1), 100, [1.0, 0.0, 0.0])]
+    old = spark.createDataFrame(rows, "_id bigint, ts timestamp, chars int, vec array<double>")
+    recent = spark.createDataFrame([([0.0, 0.0, 1.0],)] * 3000 + [([1.0, 0.0, 0.0],), ([0.0, 0.6, 0.8],)], "vec array<double>").coalesce(1)
+    now = F.to_timestamp(F.lit("2026-09-26 00:00:00"))
+    assert {r["_id"]: round(r["similarity"], 6) for r in P.resurfacing(old, recent, now).collect()} == {1: 1.0, 2: 0.6}
+    assert P.resurfacing(old, recent.limit(0), now).count() == 0
