@@ -7,13 +7,17 @@ the number of its source's words up to and including it, divided by the source's
 are merged by finish time and taken until the total budget is reached.
 
 The order within a source is a seeded hash of the id, so reruns agree. Running sums never gather a
-source in one task: documents are dealt by (source, range of the hash), summed there, and the sums of
-the ranges before are added; the merged order is cut into ranges of finish time and summed in the
-same two steps. The copy that crosses the budget is taken if at least half of it fits.
+source in one task: documents are dealt by (source, range of the hash) and summed there, ranges are
+summed by (source, group of ranges), groups by source. Documents that agree in source, id and size are
+interchangeable: they are one row with a count until the end, so that no number of null or repeated
+ids makes a range large. The merged order is cut into slots of finish time; the slot that the budget
+ends in is found from the slots' words by narrowing groups of at most ``FAN`` sums, and only that slot
+is ordered. The copies of the finish time that crosses the budget are taken if at least half of each
+fits.
 
 Null or empty texts have size 0 and are never taken. The null source is a source of its own, last in
-order. Repeated rows are documents of their own; ties of the hash break by id, then by size; equal finish times share one decision. Columns
-besides id, source and text are not read.
+order. Repeated rows are documents of their own; ties of the hash break by id, then by size; equal
+finish times share one decision. Columns besides id, source and text are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 #: The sources' own table comes to the driver; more sources than this are refused.
 MAX_SOURCES = 1_000_000
-#: Aimed-for documents in one (source, range) group.
-GROUP_ROWS = 4_000
+#: Aimed-for documents in one (source, range) group; ranges in one group of ranges, and sums that the driver reads at once.
+GROUP_ROWS, FAN = 4_000, 4_096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,94 +55,80 @@ def fill(sizes: list[int], weights: list[float], max_epochs: int) -> list[float]
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: int) -> tuple[DataFrame, int]:
-    """(source, source_size, target; the number of ranges to deal documents to). Weights go by code point, null last."""
+    """(key, source_size, target of each source; the number of ranges to deal documents to). Weights go by code point, null last."""
     spark = sized.sparkSession
-    stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+    stats = sized.groupBy("key").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.sum("rows").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
         raise ValueError("too many sources")
-    stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # Python compares by code point
+    stats.sort(key=lambda r: (r["key"] == "", r["key"]))  # Python compares by code point; the null source's key is empty
     w = [weights[i % len(weights)] for i in range(len(stats))]
     got = fill([r["size"] for r in stats], w, max_epochs)
     ranges = 1 << math.ceil(math.log2(max(1.0, sum(r["n"] for r in stats) / GROUP_ROWS)))
-    rows = [(r["source"], int(r["size"]), t) for r, t in zip(stats, got, strict=True)]
-    return spark.createDataFrame(rows, "source string, source_size bigint, target double"), ranges
-
-
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: id, size, source, source_size, target, taken (words), copies, finish (of the first copy)."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sized")
-    plan, ranges = targets(sized, weights, max_epochs)
-    bits = ranges.bit_length() - 1
-    # the first 60 bits of a digest, which SQL elsewhere can compute too
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # null is a key of its own
-    placed = sized.withColumn("key", key).withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 60 - bits) if bits else F.lit(0).cast("bigint"))
-    sums = placed.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
-    upto_bucket = F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    before = sums.select("key", "bucket", (upto_bucket - F.col("words")).alias("before"))
-    order = Window.partitionBy("key", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    run = placed.withColumn("within", F.sum("size").over(order)).join(before, ["key", "bucket"]).join(plan.withColumn("key", key).drop("source"), "key")
-    run = materialize(run.select("id", "source", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("upto")), "run")
-    budget = plan.agg(F.sum("target")).first()[0] or 0.0
-    finish = [F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("upto") + e * F.col("source_size")) / F.col("target")) for e in range(max_epochs)]
-    # the merged queue: ranges of finish time and their words; then the order within the range that the budget ends in
-    queue = run.select("size", F.explode(F.array(*finish)).alias("finish")).where("finish < 2").withColumn("slot", F.floor(F.col("finish") * ranges).cast("bigint"))
-    spent, line = 0, -1.0
-    for r in sorted(queue.groupBy("slot").agg(F.sum("size").alias("words")).collect()):
-        if spent + r["words"] >= budget - 0.5:
-            inside = queue.where(F.col("slot") == r["slot"]).withColumn("sum", F.sum("size").over(Window.partitionBy("slot").orderBy("finish").rangeBetween(Window.unboundedPreceding, 0)))
-            crossing = inside.where(F.col("sum") + spent >= budget - 0.5).agg(F.min(F.struct("finish", (F.col("sum") - F.col("size") / 2).alias("half")))).first()[0]
-            line = crossing["finish"] if spent + crossing["half"] <= budget else math.nextafter(crossing["finish"], -1.0)
+    rows = [(r["key"], int(r["size"]), t) for r, t in zip(stats, got, strict=True)]
+    return spark.createDataFrame(rows, "key string, source_size bigint, target double"), ranges
+
+
+def _offsets(placed: DataFrame) -> DataFrame:
+    """key, bucket, before: the source's words in all ranges before, summed by groups of FAN ranges first."""
+    before = lambda by, order: F.sum("words").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    sums = placed.groupBy("key", "bucket").agg(F.sum(F.col("size") * F.col("rows")).alias("words")).withColumn("group", F.floor(F.col("bucket") / FAN))
+    sums = materialize(sums, "sums")
+    groups = sums.groupBy("key", "group").agg(F.sum("words").alias("words"))
+    groups = groups.select("key", "group", before(["key"], "group").alias("group_before"))
+    return sums.withColumn("before", before(["key", "group"], "bucket")).join(groups, ["key", "group"]).select("key", "bucket", (F.col("before") + F.col("group_before")).alias("before"))
+
+
+def _line(queue: DataFrame, budget: float) -> float:
+    """The last finish time whose copies are taken; queue has size, finish and slot (ascending with finish)."""
+    sums = materialize(queue.groupBy("slot").agg(F.sum("size").alias("words")), "slots")
+    low, high = sums.agg(F.min("slot"), F.max("slot")).first()
+    if low is None:
+        return -1.0
+    spent, width = 0, high - low + 1
+    while True:
+        step = -(-width // FAN)
+        part = F.floor((F.col("slot") - low) / step)
+        for r in sorted(sums.where(F.col("slot").between(low, low + width - 1)).groupBy(part.alias("part")).agg(F.sum("words").alias("words")).collect()):
+            if spent + r["words"] >= budget - 0.5:
+                low, width = low + r["part"] * step, step
+                break
+            spent += r["words"]
+        else:
+            return math.inf  # all copies together are less than the budget
+        if width == 1:
             break
-        for i in over:
-            target[i] = float(max_epochs * sizes[i])
-        left -= sum(target[i] for i in over)
-        free -= over
-    return target
-
-
-def targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: int) -> tuple[DataFrame, int]:
-    """(source, source_size, target; the number of ranges to deal documents to). Weights go by code point, null last."""
-    spark = sized.sparkSession
-    stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(stats) > MAX_SOURCES:
-        raise ValueError("too many sources")
-    stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # Python compares by code point
-    w = [weights[i % len(weights)] for i in range(len(stats))]
-    got = fill([r["size"] for r in stats], w, max_epochs)
-    ranges = 1 << math.ceil(math.log2(max(1.0, sum(r["n"] for r in stats) / GROUP_ROWS)))
-    rows = [(r["source"], int(r["size"]), t) for r, t in zip(stats, got, strict=True)]
-    return spark.createDataFrame(rows, "source string, source_size bigint, target double"), ranges
+    drop_table(sums)
+    order = Window.partitionBy("slot").orderBy("finish").rangeBetween(Window.unboundedPreceding, 0)
+    inside = queue.where(F.col("slot") == low).withColumn("sum", F.sum("size").over(order))
+    # of equal finish times the smallest copy has the most of it beyond the budget
+    crossing = inside.where(F.col("sum") + spent >= budget - 0.5).agg(F.min(F.struct("finish", (F.col("size") / 2 - F.col("sum")).alias("half")))).first()[0]
+    return crossing["finish"] if spent - crossing["half"] <= budget else math.nextafter(crossing["finish"], -1.0)
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: id, size, source, source_size, target, taken (words), copies, finish (of the first copy)."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sized")
+    key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))  # null is a key of its own
+    sized = docs.select(F.col(id_col).alias("id"), key.alias("key"), size.alias("size")).groupBy("key", "id", "size").agg(F.count(F.lit(1)).alias("rows"))
+    sized = materialize(sized, "sized")
     plan, ranges = targets(sized, weights, max_epochs)
     bits = ranges.bit_length() - 1
     # the first 60 bits of a digest, which SQL elsewhere can compute too
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # null is a key of its own
-    placed = sized.withColumn("key", key).withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 60 - bits) if bits else F.lit(0).cast("bigint"))
-    sums = placed.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
-    upto_bucket = F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    before = sums.select("key", "bucket", (upto_bucket - F.col("words")).alias("before"))
+    placed = sized.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 60 - bits) if bits else F.lit(0).cast("bigint"))
     order = Window.partitionBy("key", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    run = placed.withColumn("within", F.sum("size").over(order)).join(before, ["key", "bucket"]).join(plan.withColumn("key", key).drop("source"), "key")
-    run = materialize(run.select("id", "source", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("upto")), "run")
+    within = F.sum(F.col("size") * F.col("rows")).over(order) - F.col("size") * F.col("rows")
+    run = placed.withColumn("within", within).join(_offsets(placed), ["key", "bucket"]).join(plan, "key")
+    run = run.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "rows"))).withColumn("upto", F.col("before") + F.col("within") + F.col("nth") * F.col("size"))
+    source = F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("source")
+    run = materialize(run.select("id", source, "size", "source_size", "target", "upto"), "run")
+    drop_table(sized)
     budget = plan.agg(F.sum("target")).first()[0] or 0.0
     finish = [F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("upto") + e * F.col("source_size")) / F.col("target")) for e in range(max_epochs)]
-    # the merged queue: ranges of finish time and their words; then the order within the range that the budget ends in
-    queue = run.select("size", F.explode(F.array(*finish)).alias("finish")).where("finish < 2").withColumn("slot", F.floor(F.col("finish") * ranges).cast("bigint"))
-    spent, line = 0, -1.0
-    for r in sorted(queue.groupBy("slot").agg(F.sum("size").alias("words")).collect()):
-        if spent + r["words"] >= budget - 0.5:
-            inside = queue.where(F.col("slot") == r["slot"]).withColumn("sum", F.sum("size").over(Window.partitionBy("slot").orderBy("finish").rangeBetween(Window.unboundedPreceding, 0)))
-            line = inside.where(F.col("sum") - F.col("size") / 2 + spent <= budget).agg(F.max("finish")).first()[0]
-            line = r["slot"] / ranges if line is None else line
-            break
-        spent, line = spent + r["words"], (r["slot"] + 1) / ranges
+    # slots of equal width up to twice the time that all targets take, where the budget ends unless documents are larger
+    # than targets, and of growing width beyond
+    slot = F.when(F.col("finish") < 2, F.floor(F.col("finish") * ranges)).otherwise(F.floor(ranges * (F.log2("finish") + 1)))
+    queue = run.select("size", F.explode(F.array(*finish)).alias("finish")).where("finish is not null").withColumn("slot", slot.cast("bigint"))
+    line = _line(queue, budget)
     copies = sum((F.when(f <= line, 1).otherwise(0) for f in finish), F.lit(0))
     return run.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (copies * F.col("size")).cast("bigint").alias("taken"), copies.cast("int").alias("copies"), finish[0].alias("finish"))

@@ -320,6 +320,23 @@ def test_mixing(spark):
     assert {(r["doc_id"], r["taken"]) for r in out} == {(r["doc_id"], r["taken"]) for r in mix_sources(docs.repartition(3)).collect()}
 
 
+def test_mixing_sql_on_small_tables(spark):
+    """Ties, tiny sources, documents larger than targets, null and repeated ids."""
+    import duckdb
+
+    r = random.Random(5)
+    tables = [[(0, "a", 3), (1, "c", 1), (2, "a", 2)], [(0, "c", 3), (1, "c", 3), (2, "c", 5), (3, "b", 40), (4, "a", 2), (5, "a", 10)]]
+    for _ in range(10):
+        names = r.sample(["a", "b", "c", "d", None, ""], r.randint(1, 5))
+        tables.append([(r.choice([i, i, i, None, 1]), r.choice(names), r.choice([0, 1, 2, 3, 5, 10, 40])) for i in range(r.randint(1, 14))])
+    for table in tables:
+        rows = [(i, " ".join(["w"] * n), s) for i, s, n in table]
+        con = duckdb.connect()
+        con.sql("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, source VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+        oracle.assert_same(mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).drop("finish"), con, queries.OP6_SQL)
+
+
 def test_mixing_odd(spark, monkeypatch):
     docs = odd_docs(spark)
     out = mix_sources(docs).collect()
