@@ -17,18 +17,18 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     parts of a component far from each other may still have labels of their own.
 
     Every round takes the smallest label among a node's neighbours and then its label's label, so that
-    long chains shrink as fast as stars. Both sides of each join are written tables, whose hot keys can
-    be split at run time.
+    long chains shrink as fast as stars. The edges are planned once: both directions come from one
+    explode. Both sides of each join are written tables, whose hot keys can be split at run time.
     """
-    both = materialize(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "both")
+    ways = F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    both = materialize(edges.where("x <> y").select(F.explode(ways).alias("e")).select("e.x", "e.y").distinct(), "both")
     labels = materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("label")), "labels")
     for _ in range(rounds or MAX_ROUNDS):
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         near = materialize(near.join(labels, "node").select("node", "label", F.least("label", "near").alias("next")), "near")
         jump = near.select(F.col("node").alias("next"), F.col("next").alias("far"))
         step = materialize(near.join(jump, "next").select("node", F.col("far").alias("label"), (F.col("far") < F.col("label")).alias("moved")), "step")
-        drop_table(near)
-        drop_table(labels)
+        drop_table(near, labels)
         labels = step
         if rounds is None and step.where("moved").isEmpty():
             break
@@ -36,4 +36,6 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         if rounds is None:
             raise RuntimeError("components did not settle")
     drop_table(both)
-    return labels.select("node", "label")
+    out = labels.select("node", "label")
+    out._sparkloom_path = labels._sparkloom_path
+    return out

@@ -2,40 +2,59 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (a local session, as in tests) a temporary folder takes its place.
+    Only a local session (as in tests) may leave that setting out; a temporary folder takes its place there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(shared_dir, "local", None)
         if base is None:
             base = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
     return f"{base.rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of executions in this block go when these end; their rows are in the written table then."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparkloom_path = path
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete what materialize() wrote; df must not be read afterwards."""
-    path = getattr(df, "_sparkloom_path", None)
-    if path is None:
-        return
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where.getParent(), True)
+def drop_table(*tables: DataFrame | None) -> None:
+    """Delete what materialize() wrote; these tables, and plans over them, must not be read afterwards."""
+    for df in tables:
+        path = getattr(df, "_sparkloom_path", None)
+        if path is None:
+            continue
+        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where.getParent(), True)
