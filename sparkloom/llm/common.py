@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import drop_table, materialize, shared_dir
+from .pretokens import release
 
 __all__ = ["bounded_batches", "drop_table", "map_arrow", "materialize", "read_table", "shared_dir", "slices", "text_buffers", "write_shared"]
 
 #: Bytes of text that a numpy kernel works on at once; bounds a Python worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 #: Bytes of one Arrow batch between the JVM and a Python worker; both sides hold one or two.
@@ -45,6 +46,7 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
         try:
             yield from run(batches)
         finally:
+            release()
             pa.default_memory_pool().release_unused()
             _trim()(0)
 

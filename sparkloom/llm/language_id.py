@@ -35,6 +35,8 @@ from .common import map_arrow, slices, text_buffers
 from .pretokens import LETTER, class_table, factorize, forget, mix
 
 ORDER, DOCS_PER_LANG, MAX_LANGS = 4, 600, 500
+#: Bytes of text scored at once.
+SLICE = 1 << 19
 #: Bits of excess that are no evidence yet, and what sums in another order may differ by.
 SIGNIFICANT, ROUNDING = 64.0, 0.01
 BLANK = 32
@@ -215,7 +217,7 @@ def _count_grams(batches):
     for b in batches:
         langs = np.asarray(b.column(1).to_pylist(), object)
         raw, offsets = text_buffers(b.column(0))
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, SLICE):
             sym, at = symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             keep = np.ones(len(sym), bool)
             keep[at[:-1]] = False
@@ -229,7 +231,7 @@ def _entropies(model):
     def run(batches):
         for b in batches:
             raw, offsets = text_buffers(b.column(0))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 e, n = model.value.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.array(list(e), pa.list_(pa.float64())), pa.array(n, pa.int64())], ["lang", "e", "n"])
 
@@ -246,7 +248,7 @@ def _most_excess(model):
             raw, offsets = text_buffers(b.column(0))
             label = np.asarray(b.column(1).to_pylist(), object)
             most: dict[str, float] = {}
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 e, n = model.value.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 best, _, low, _ = model.value.decide(e, n)
                 over = model.value.excess(best, low, n)
@@ -303,7 +305,7 @@ def identify(docs: DataFrame, model: Models | None, id_col: str = "doc_id", text
         langs = np.asarray([*shared.value.langs, UNKNOWN], object)
         for b in batches:
             raw, offsets = text_buffers(b.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 e, n = shared.value.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 best, score, low, rejected = shared.value.decide(e, n)
                 none = n <= 0
@@ -323,7 +325,7 @@ def accepted(docs: DataFrame, model: Models | None, text_col: str = "text") -> D
         forget()
         for b in batches:
             raw, offsets = text_buffers(b.column(at))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 rejected = shared.value.decide(*shared.value.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))[3]
                 yield b.slice(i, j - i).filter(pa.array(~rejected))
 

@@ -22,6 +22,8 @@ finish times share one decision. Columns besides id, source and text are not rea
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -31,6 +33,8 @@ from .common import drop_table, materialize
 
 #: The sources' own table comes to the driver; more sources than this are refused.
 MAX_SOURCES = 1_000_000
+#: Sources whose cuts (a row each) are broadcast; with more, documents are joined with them by source.
+BROADCAST_SOURCES = 20_000
 #: Aimed-for documents in one (source, range) group; ranges in one group of ranges, and sums that the driver reads at once.
 GROUP_ROWS, FAN = 4_000, 4_096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,8 +58,8 @@ def fill(sizes: list[int], weights: list[float], max_epochs: int) -> list[float]
     return target
 
 
-def targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: int) -> tuple[DataFrame, int]:
-    """(key, source_size, target of each source; the number of ranges to deal documents to). Weights go by code point, null last."""
+def targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: int) -> tuple[DataFrame, int, int]:
+    """(key, source_size, target of each source; the number of ranges to deal documents to; that of sources). Weights go by code point, null last."""
     spark = sized.sparkSession
     stats = sized.groupBy("key").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.sum("rows").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
@@ -65,7 +69,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: int) -> tu
     got = fill([r["size"] for r in stats], w, max_epochs)
     ranges = 1 << math.ceil(math.log2(max(1.0, sum(r["n"] for r in stats) / GROUP_ROWS)))
     rows = [(r["key"], int(r["size"]), t) for r, t in zip(stats, got, strict=True)]
-    return spark.createDataFrame(rows, "key string, source_size bigint, target double"), ranges
+    return spark.createDataFrame(rows, "key string, source_size bigint, target double"), ranges, len(stats)
 
 
 def _offsets(placed: DataFrame) -> DataFrame:
@@ -105,30 +109,92 @@ def _line(queue: DataFrame, budget: float) -> float:
     return crossing["finish"] if spent - crossing["half"] <= budget else math.nextafter(crossing["finish"], -1.0)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: id, size, source, source_size, target, taken (words), copies, finish (of the first copy)."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))  # null is a key of its own
-    sized = docs.select(F.col(id_col).alias("id"), key.alias("key"), size.alias("size")).groupBy("key", "id", "size").agg(F.count(F.lit(1)).alias("rows"))
+def _hash(id_, seed: int):
+    """The first 60 bits of a digest of the id, which SQL elsewhere can compute too."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def _key(source):
+    """A source's key; null has one of its own."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def _size(text):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+@dataclasses.dataclass
+class _Mix:
+    run: DataFrame  # written: key, h, id, size, rows, nth, upto, source_size, target of every document
+    sources: int
+    line: float  # the last finish time that is taken
+    epochs: int
+
+    def finish(self, epoch: int):
+        return F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("upto") + epoch * F.col("source_size")) / F.col("target"))
+
+
+def _queued(docs: DataFrame, weights: tuple[float, ...], max_epochs: int, seed: int, id_col: str, text_col: str, source_col: str) -> _Mix:
+    c = lambda name: F.col(f"`{name}`")
+    sized = docs.select(c(id_col).alias("id"), _key(c(source_col)).alias("key"), _size(c(text_col)).alias("size")).groupBy("key", "id", "size").agg(F.count(F.lit(1)).alias("rows"))
     sized = materialize(sized, "sized")
-    plan, ranges = targets(sized, weights, max_epochs)
+    plan, ranges, sources = targets(sized, weights, max_epochs)
     bits = ranges.bit_length() - 1
-    # the first 60 bits of a digest, which SQL elsewhere can compute too
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    placed = sized.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 60 - bits) if bits else F.lit(0).cast("bigint"))
+    placed = sized.withColumn("h", _hash(F.col("id"), seed)).withColumn("bucket", F.shiftrightunsigned("h", 60 - bits) if bits else F.lit(0).cast("bigint"))
     order = Window.partitionBy("key", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     within = F.sum(F.col("size") * F.col("rows")).over(order) - F.col("size") * F.col("rows")
     run = placed.withColumn("within", within).join(_offsets(placed), ["key", "bucket"]).join(plan, "key")
     run = run.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "rows"))).withColumn("upto", F.col("before") + F.col("within") + F.col("nth") * F.col("size"))
-    source = F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("source")
-    run = materialize(run.select("id", source, "size", "source_size", "target", "upto"), "run")
+    run = materialize(run.select("key", "h", "id", "size", "rows", "nth", "upto", "source_size", "target"), "run")
     drop_table(sized)
-    budget = plan.agg(F.sum("target")).first()[0] or 0.0
-    finish = [F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("upto") + e * F.col("source_size")) / F.col("target")) for e in range(max_epochs)]
+    mix = _Mix(run, sources, -1.0, max_epochs)
     # slots of equal width up to twice the time that all targets take, where the budget ends unless documents are larger
     # than targets, and of growing width beyond
     slot = F.when(F.col("finish") < 2, F.floor(F.col("finish") * ranges)).otherwise(F.floor(ranges * (F.log2("finish") + 1)))
-    queue = run.select("size", F.explode(F.array(*finish)).alias("finish")).where("finish is not null").withColumn("slot", slot.cast("bigint"))
-    line = _line(queue, budget)
-    copies = sum((F.when(f <= line, 1).otherwise(0) for f in finish), F.lit(0))
-    return run.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (copies * F.col("size")).cast("bigint").alias("taken"), copies.cast("int").alias("copies"), finish[0].alias("finish"))
+    queue = run.select("size", F.explode(F.array(*map(mix.finish, range(max_epochs)))).alias("finish")).where("finish is not null").withColumn("slot", slot.cast("bigint"))
+    mix.line = _line(queue, plan.agg(F.sum("target")).first()[0] or 0.0)
+    return mix
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: id, size, source, source_size, target, taken (words), copies, finish (of the first copy)."""
+    mix = _queued(docs, weights, max_epochs, seed, id_col, text_col, source_col)
+    source = F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias(source_col)
+    copies = sum((F.when(mix.finish(e) <= mix.line, 1).otherwise(0) for e in range(max_epochs)), F.lit(0))
+    return mix.run.select(F.col("id").alias(id_col), source, "size", "source_size", "target", (copies * F.col("size")).cast("bigint").alias("taken"), copies.cast("int").alias("copies"), mix.finish(0).alias("finish"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes each; the same decisions as mix_sources'.
+
+    In each pass a source's documents are taken up to one place of its order, so that a row for each source
+    says what is taken, and texts are not shuffled. Only documents that agree with the one at that place
+    in source, id and size are counted, where there are several.
+    """
+    mix = _queued(docs, weights, max_epochs, seed, id_col, text_col, source_col)
+    taken = [f"cut{e}" for e in range(max_epochs)]
+    place = F.struct("h", "id", "size")
+    cuts = mix.run.groupBy("key").agg(*(F.max(F.when(mix.finish(e) <= mix.line, F.struct(place.alias("place"), "nth", "rows"))).alias(c) for e, c in enumerate(taken)))
+    cuts = materialize(cuts, "cuts")
+    drop_table(mix.run)
+    row, own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), lambda c: F.col("row").getField(c)
+    rows = docs.select(row.alias("row")).select("row", _key(own(source_col)).alias("key"), F.struct(_hash(own(id_col), seed).alias("h"), own(id_col).alias("id"), _size(own(text_col)).alias("size")).alias("place"))
+    rows = rows.where("place.size > 0").join(F.broadcast(cuts) if mix.sources <= BROADCAST_SOURCES else cuts, "key")
+    several = lambda c: (F.col("place") == F.col(f"{c}.place")) & (F.col(f"{c}.rows") > 1)
+    at_cut = F.coalesce(functools.reduce(lambda x, y: x | y, [F.coalesce(several(c), F.lit(False)) for c in taken]), F.lit(False))
+
+    def copied(rows, nth):
+        within = [F.coalesce((F.col("place") < F.col(f"{c}.place")) | ((F.col("place") == F.col(f"{c}.place")) & (nth <= F.col(f"{c}.nth"))), F.lit(False)).cast("int") for c in taken]
+        copies = functools.reduce(lambda x, y: x + y, within)
+        return rows.withColumn("copies", copies).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+    counted = functools.reduce(lambda x, y: x | y, [F.coalesce(F.col(f"{c}.rows") > 1, F.lit(False)) for c in taken])
+    if cuts.where(counted).isEmpty():
+        return copied(rows, F.lit(1))
+    nth = F.row_number().over(Window.partitionBy("key", "place").orderBy(F.xxhash64(*_hashable(rows.schema["row"].dataType, "row"))))
+    return copied(rows.where(~at_cut), F.lit(1)).unionByName(copied(rows.where(at_cut).withColumn("nth", nth), F.col("nth")))
+
+
+def _hashable(kind, at: str):
+    """The fields of a struct column as columns that xxhash64 takes; those with maps as JSON."""
+    return [F.to_json(F.struct(F.col(at).getField(f.name))) if "map<" in f.dataType.simpleString() else F.col(at).getField(f.name) for f in kind.fields]

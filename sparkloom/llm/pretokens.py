@@ -151,6 +151,11 @@ def factorize(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.indices.to_numpy(), coded.dictionary.to_numpy()
 
 
+def release() -> None:
+    """Drop the tables that depend on the length of texts; a task that ends calls it."""
+    _powers.cache_clear()
+
+
 def forget() -> None:
     """Drop what encoders keep in this worker; operators that encode nothing call it for the memory."""
     encoder.cache_clear()
@@ -167,7 +172,7 @@ def tokenizer(path: str):
 class IdEncoder:
     """Ids of whole texts as the tokenizers library gives them, without special tokens added."""
 
-    LIMIT = 600_000  # distinct pieces kept, some 40 bytes each; beyond, the memory starts anew
+    LIMIT = 250_000  # distinct pieces kept, some 40 bytes each; beyond, the memory starts anew
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)

@@ -63,13 +63,13 @@ def level(size: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(lv: int) -> int:
-    return max(64, 8 << lv)
+    return max(64, 4 << lv)
 
 
 def sketches(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
     """Each set's parity sketch: bit i is the parity of the number of hashes that fall on it.
 
-    It has 8 bits for each hash of the smallest set of the size band; folding a sketch in halves gives
+    It has 4 bits for each hash of the smallest set of the size band; folding a sketch in halves gives
     that of the next smaller band, so that sketches of neighbouring bands can be compared.
     """
     size = np.diff(at)
@@ -82,7 +82,7 @@ def sketches(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def fold(sketch: np.ndarray, size: int) -> np.ndarray:
-    """A sketch (bytes along the last axis) folded to a smaller number of bytes."""
+    """A sketch (its words along the last axis) folded to a smaller number of words."""
     while sketch.shape[-1] > size:
         half = sketch.shape[-1] // 2
         sketch = sketch[..., :half] ^ sketch[..., half:]

@@ -29,6 +29,8 @@ from .common import map_arrow, slices, text_buffers
 from .pretokens import SPECIAL, boundaries, tokenizer
 
 CHUNK = 512
+#: Bytes of text whose chunks are read in lockstep.
+LANE_BYTES = 1 << 20
 
 
 def _byte_chars() -> dict[int, str]:
@@ -202,7 +204,7 @@ def count_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = text_buffers(column)
     out = np.zeros(len(column), np.int64)
     machine = transducer(path)
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, LANE_BYTES):
         part, off = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         if apart := _split_special(part, off):
             out[i:j] = np.bincount(apart[2], machine.counts(*apart[:2]), j - i).astype(np.int64) + apart[3]
