@@ -12,27 +12,36 @@ lost executor repeats at most one stage.
 * packing: one row per piece of each row left; copies of a row are packed as documents of their own.
 
 Null ids, texts, languages and sources are handled as the operators' docstrings say; columns besides
-those of ``documents`` pass through the first three stages.
+those of ``documents`` pass through the first three stages, whatever their names. Texts are not shuffled
+by the second and third stage, but for rows that may have to go as near duplicates.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, read_table
-from sparkloom.llm.jaccard import jaccard_components
+from sparkloom.llm.common import drop_table, map_arrow, materialize, read_table
+from sparkloom.llm.jaccard import bitmap, jaccard_components, on
 from sparkloom.llm.language_id import accepted, fit
-from sparkloom.llm.mixing import mix_sources
+from sparkloom.llm.mixing import mixed_rows
 from sparkloom.llm.packing import best_fit_pack
 from sparkloom.llm.queries import bpe_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def _name(docs: DataFrame, base: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while base in taken:
+        base += "_"
+    return base
 
 
 def _key(docs: DataFrame):
-    """A row's key, in order of doc_id with nulls last; rows with one key are the same in all columns of documents."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64(*(c for c in COLUMNS if c in docs.columns)).alias("h"))
+    """A row's key, in order of doc_id with nulls last; rows with one key are the same in all columns."""
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64(*cols).alias("h"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +49,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("_key", _key(docs))
-    groups = jaccard_components(keyed, id_col="_key")
-    keep = materialize(groups.where(F.col("component_id") == F.col("_key")).select("_key"), "keep")
-    # the join leaves equal keys together, so that dropping repeated rows needs no shuffle of its own
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    key, mark = _name(docs, "key"), _name(docs, "mark")
+    keyed = docs.withColumn(key, _key(docs))
+    groups = jaccard_components(keyed.select(key, "text"), id_col=key)
+    # keys of rows that go, or of which one stays; a bitmap of them lets all other rows pass as they are
+    found = groups.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("c"))
+    found = materialize(found.where((F.col("c") != F.col("k")) | (F.col("n") > 1)).select("k", (F.col("c") == F.col("k")).alias("stays"), F.xxhash64("k").alias("h")), "found")
+    drop_table(groups)
+    bits = spark.sparkContext.broadcast(bitmap(found, "h"))
+
+    def rows(marked: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(on(bits.value, b.column(b.num_columns - 1).to_numpy()) == marked))
+
+        hashed = docs.withColumn(mark, F.xxhash64(_key(docs)))
+        return map_arrow(hashed, run, hashed.schema).drop(mark)
+
+    some = rows(True)
+    some = some.withColumn(key, _key(some))
+    go = found.where("not stays").select(F.col("k").alias(key))
+    some = some.join(go, key, "left_anti").dropDuplicates([key]).select(*(f"`{c}`" for c in docs.columns))
+    return rows(False).unionByName(some)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("_key", _key(docs))
-    mix = mix_sources(keyed, id_col="_key").groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies"))
-    taken = materialize(mix.where("_copies > 0"), "taken")
-    rows = keyed.join(taken, "_key").dropDuplicates(["_key"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key = _name(docs, "key")
+    return mixed_rows(docs.withColumn(key, _key(docs)), id_col=key).drop(key)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
