@@ -3,7 +3,7 @@
 A text's set of 5-word shingles is hashed; each hash flips one bit of the set's parity sketch, so the
 Hamming distance of two sketches is a lower bound of the sets' symmetric difference. At a similarity
 of t the difference d is bounded by the sizes. Per size band the hash space is cut into K > d segments,
-each with a 64-bit parity word; by the pigeonhole principle two linked sets agree in at least K - d
+each with a parity word; by the pigeonhole principle two linked sets agree in at least K - d
 words, so some word is among the first d + 1 of both, which are the join's keys.
 
 The order in which words become keys is free, as long as all sets share it. Words that several sets of
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from .common import drop_table, map_arrow, materialize, slices, text_buffers
 from .pretokens import forget, mix
-from .shingles import fold, segment_keys, shingle_sets, sketches
+from .shingles import KEY_BYTES, fold, segment_keys, shingle_sets, sketches
 
 #: Keys that a task sorts at once, before the shuffle and, slot by slot, after it; partitions of slots at most; classes
 #: of one block of a key.
@@ -134,12 +134,29 @@ def _signatures(percent: int, common):
                 keep = new[docs]
                 order = np.argsort(docs[keep], kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(docs[keep], minlength=j - i))])
-                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[keep][order].view(np.int64)))
+                held = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((KEY_BYTES * ends).astype(np.int32)), pa.py_buffer(_short(keys[keep][order]))])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), pa.array(sketches(sets, at), pa.binary(), mask=~new), held], ["id", "n", "cid", "sketch", "keys"])
 
     return run
 
 
+def _short(keys: np.ndarray) -> bytes:
+    """Keys in KEY_BYTES bytes each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _long(data) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.reshape(-1).view("<i8")
+
+
+def _keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all rows, keys of each row)."""
+    rows = [x.as_py() or b"" for x in column]
+    return _long(b"".join(rows)), np.array([len(x) // KEY_BYTES for x in rows], np.int64)
+
+
 def _runs(key: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, cid) in order, and the position of each one's first of the same key."""
     order = np.lexsort((cid, key))
@@ -172,9 +189,10 @@ def _local_stars(parts: int):
         key, cid = key[first], cid[first]
         part = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
-        both = np.stack([key[order], cid[order]], 1)
         used, start = np.unique(part[order], return_index=True)
-        blobs = [x.tobytes() for x in np.split(both, start[1:])] if len(both) else []
+        ends = [*start[1:].tolist(), len(order)]
+        key, cid = key[order], cid[order]
+        blobs = [_short(key[lo:hi]) + cid[lo:hi].tobytes() for lo, hi in zip(start.tolist(), ends, strict=True)] if len(order) else []
         n = len(blobs)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(3))], schema=_STAR)
@@ -182,9 +200,8 @@ def _local_stars(parts: int):
     def run(batches):
         keys, cids, held = [], [], 0
         for b in batches:
-            lists = b.column(1)
-            lens = np.diff(lists.offsets.to_numpy())
-            keys.append(lists.flatten().to_numpy())
+            own, lens = _keys_of(b.column(1))
+            keys.append(own)
             cids.append(np.repeat(b.column(0).fill_null(0).to_numpy(), lens))
             held += len(keys[-1])
             if held >= CHUNK_KEYS:
@@ -203,8 +220,7 @@ def _global_stars(batches):
     """Edges to the smallest class of each key, of rows in order of their slot; edges of tasks pass through."""
 
     def flush(held):
-        both = np.concatenate(held)
-        key, cid, lead = _runs(both[:, 0], both[:, 1])
+        key, cid, lead = _runs(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
         other = np.flatnonzero(lead != np.arange(len(lead)))
         if len(other):
             yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(cid[other]), pa.array(cid[lead[other]])], schema=_EDGES)
@@ -220,7 +236,9 @@ def _global_stars(batches):
                 held = []
             slot = s
             if blob.is_valid:
-                held.append(np.frombuffer(blob.as_py(), np.int64).reshape(-1, 2))
+                data = blob.as_py()
+                n = len(data) // (KEY_BYTES + 8)
+                held.append((_long(data[: KEY_BYTES * n]), np.frombuffer(data, np.int64, n, KEY_BYTES * n)))
     if held:
         yield from flush(held)
 
@@ -299,10 +317,9 @@ def _marked_keys(marks):
 
     def run(batches):
         for b in batches:
-            lists = b.column(1)
-            keys = lists.flatten().to_numpy()
+            keys, lens = _keys_of(b.column(1))
             hit = on(marks.value, keys)
-            cid = np.repeat(b.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            cid = np.repeat(b.column(0).to_numpy(), lens)
             yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(cid[hit])], ["key", "cid"])
 
     return run
@@ -569,10 +586,10 @@ def _candidates(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Da
     common = materialize(sampled.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON), "common")
     seen = share(bitmap(common, "key"))
     drop_table(common)
-    sig = materialize(map_arrow(docs, _signatures(percent, seen), f"id {kind}, n bigint, cid bigint, sketch binary, keys array<bigint>"), "signatures")
-    total = sig.agg(F.sum(F.size("keys"))).first()[0] or 0
+    sig = materialize(map_arrow(docs, _signatures(percent, seen), f"id {kind}, n bigint, cid bigint, sketch binary, keys binary"), "signatures")
+    total = (sig.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // KEY_BYTES
     slots = max(1, math.ceil(total / SLOT_KEYS))
-    keyed = sig.where(F.size("keys") > 0).select("cid", "keys")
+    keyed = sig.where(F.octet_length("keys") > 0).select("cid", "keys")
     stars = map_arrow(keyed, _local_stars(slots), "part int, blob binary, key bigint, x bigint, y bigint")
     return sig, keyed, materialize(map_arrow(stars.repartition(min(slots, MAX_PARTS), "part").sortWithinPartitions("part"), _global_stars, "key bigint, x bigint, y bigint"), "edges")
 

@@ -36,7 +36,7 @@ MAX_SOURCES = 1_000_000
 #: Sources whose cuts (a row each) are broadcast; with more, documents are joined with them by source.
 BROADCAST_SOURCES = 20_000
 #: Aimed-for documents in one (source, range) group; ranges in one group of ranges, and sums that the driver reads at once.
-GROUP_ROWS, FAN = 4_000, 4_096
+GROUP_ROWS, FAN = 1_000, 4_096
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -11,6 +11,8 @@ import numpy as np
 from .pretokens import mix, span_hashes
 
 WIDTH = 5
+#: Keys have 48 bits; those of different words that are equal by chance only give pairs that fail the check.
+KEY_SHIFT, KEY_BYTES = np.uint64(16), 6
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -63,13 +65,13 @@ def level(size: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(lv: int) -> int:
-    return max(64, 4 << lv)
+    return max(64, 2 << lv)
 
 
 def sketches(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
     """Each set's parity sketch: bit i is the parity of the number of hashes that fall on it.
 
-    It has 4 bits for each hash of the smallest set of the size band; folding a sketch in halves gives
+    It has 2 bits for each hash of the smallest set of the size band; folding a sketch in halves gives
     that of the next smaller band, so that sketches of neighbouring bands can be compared.
     """
     size = np.diff(at)
@@ -100,7 +102,7 @@ def reach(size, percent: int):
 def segment_keys(sets: np.ndarray, at: np.ndarray, percent: int, down: bool, last=None) -> tuple[np.ndarray, np.ndarray]:
     """(keys, set of each key): the pigeonhole keys in the set's own size band, or with down in the next smaller one.
 
-    The hash space is cut into K segments. A segment's 64-bit parity word is the XOR of its hashes; two
+    The hash space is cut into K segments. A segment's 64-bit parity word is the XOR of its hashes, its key 48 bits of a mix of that; two
     sets that differ in at most d hashes agree in at least K - d of the K words. Under any fixed order of
     words, the first d + 1 words of each then have one in common. Words for which ``last`` (a function of
     their keys) is true come last in that order, fuller segments first, as they are shared by chance
@@ -126,10 +128,10 @@ def segment_keys(sets: np.ndarray, at: np.ndarray, percent: int, down: bool, las
     count = np.diff(np.append(run, len(e)))
     rdoc, rseg = doc[run], seg[run]
     tag = mix(rseg.astype(np.uint64) * np.uint64(64) + lv[rdoc].astype(np.uint64))
-    key = mix(word ^ tag)
+    key = mix(word ^ tag) >> KEY_SHIFT
     if last is None:
         return key, rdoc
-    order = (rdoc.astype(np.uint64) << np.uint64(40)) | (last(key).astype(np.uint64) << np.uint64(39)) | ((np.uint64(127) - np.minimum(count, 127).astype(np.uint64)) << np.uint64(32)) | (key >> np.uint64(32))
+    order = (rdoc.astype(np.uint64) << np.uint64(40)) | (last(key).astype(np.uint64) << np.uint64(39)) | ((np.uint64(127) - np.minimum(count, 127).astype(np.uint64)) << np.uint64(32)) | (key >> np.uint64(16))
     order = np.argsort(order, kind="stable")
     key, rdoc = key[order], rdoc[order]
     filled = np.bincount(rdoc, minlength=len(size))
@@ -139,7 +141,7 @@ def segment_keys(sets: np.ndarray, at: np.ndarray, percent: int, down: bool, las
     # sets with fewer filled segments than words to take: empty segments, in order of their tag
     for d in np.flatnonzero(use & (filled < np.minimum(take, k))).tolist():
         empty = np.setdiff1d(np.arange(k[d]), seg[doc == d])
-        tags = np.sort(mix(mix(empty.astype(np.uint64) * np.uint64(64) + np.uint64(lv[d]))))
+        tags = np.sort(mix(mix(empty.astype(np.uint64) * np.uint64(64) + np.uint64(lv[d]))) >> KEY_SHIFT)
         more = tags[: int(take[d] - filled[d])]
         keys.append(more)
         docs.append(np.full(len(more), d))
