@@ -12,7 +12,7 @@ reranked by exact distance in double precision, and the blocks' lists merged by
 
 Only the centre is fitted, as the mean of all rows. Vectors that are null, zero or hold null or
 non-finite components take no part; nor do rows with a null id. Ties go to the smaller id.
-Vectors of another length than the first of their block count as zero in what they lack.
+Vectors shorter than the longest count as zero in what they lack.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def distance_bounds(query: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit:
     return base - scale * np.minimum(1.0, estimate + error), base - scale * np.maximum(-1.0, estimate - error)
 
 
-def nearest(table: DataFrame, is_query, k: int = 10, eps: float = 3.0, seed: int = 23, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 512, candidate_block: int = 8_192) -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 10, eps: float = 3.0, seed: int = 23, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 2_048, candidate_block: int = 8_192) -> DataFrame:
     """query_id, rank (from 1), id_col, score (Euclidean distance) for the rows where is_query (over ``id``) holds."""
     rows = clean_vectors(table, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
     mean = rows.select(F.posexplode("vec")).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()  # a row per dimension

@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..storage import drop_table, materialize, shared_dir
 from .pretokens import release
 
-__all__ = ["bounded_batches", "drop_table", "map_arrow", "materialize", "read_table", "shared_dir", "slices", "text_buffers", "write_shared"]
+__all__ = ["bounded_batches", "drop_table", "map_arrow", "materialize", "read_shared", "read_table", "shared_dir", "slices", "spread", "text_buffers", "write_shared"]
 
 #: Bytes of text that a numpy kernel works on at once; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 18
 
 
+#: Tasks that read files at most.
+MAX_READERS = 50_000
 #: Bytes of one Arrow batch between the JVM and a Python worker; both sides hold one or two.
 BATCH_BYTES = 4 << 20
 
@@ -100,3 +102,20 @@ def write_shared(uri: str, data: bytes) -> None:
     with open(part, "wb") as f:
         f.write(data)
     os.replace(part, path)
+
+
+def read_shared(uri: str) -> bytes:
+    """A whole file of the shared folder."""
+    if "://" in uri and not uri.startswith("file:"):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_stream(path) as f:
+            return f.read()
+    with open(uri.removeprefix("file://").removeprefix("file:"), "rb") as f:
+        return f.read()
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """A written table of files, dealt out so that each task reads one or few of them."""
+    return files.repartition(max(1, min(files.count(), MAX_READERS)))

@@ -21,11 +21,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import idcoder
-from .common import map_arrow, materialize, shared_dir, slices, text_buffers, write_shared
+from .common import map_arrow, materialize, read_shared, shared_dir, slices, spread, text_buffers, write_shared
 from .pretokens import encoder
 
 MAGIC = b"SLID\x00\x00\x00\x01"
@@ -113,33 +113,30 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, id_col:
     return materialize(map_arrow(rows, run, "part int, file int, path string, n_ids bigint"), "manifest")
 
 
-def read_ids(spark: SparkSession, folder: str, manifest: DataFrame, kind: str = "bigint", with_ids: bool = False) -> DataFrame:
-    """id, start, n_tokens, ids_crc32 (and ids) of every document in the files."""
+def read_ids(manifest: DataFrame, kind: str = "bigint", with_ids: bool = False) -> DataFrame:
+    """id, start, n_tokens, ids_crc32 (and ids) of every document in the files that a manifest lists."""
 
     def run(batches):
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                docs, counts, ids = unpack_file(content.as_py())
+            for path, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                docs, counts, ids = unpack_file(read_shared(path))
                 ends = np.cumsum(counts)
                 view = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                cols = [pa.array([path.rsplit("/", 1)[1]] * len(docs)), pa.array(docs), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())]
-                names = ["name", "id", "within", "n_tokens", "ids_crc32"]
+                cols = [pa.array(docs), pa.array(ends - counts + before), pa.array(counts), pa.array(crc, pa.int64())]
+                names = ["id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"name string, id {kind}, within bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    back = map_arrow(spark.read.format("binaryFile").load(folder).select("path", "content"), run, schema)
     # running counts of files within spans of ranges, and of the at most MAX_RANGES / SPAN spans
     files = manifest.withColumn("span", F.floor(F.col("part") / SPAN))
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = files.groupBy("span").agg(F.sum("n_ids").alias("n_ids")).select("span", before(Window.orderBy("span")).alias("spans_before"))
     files = files.withColumn("files_before", before(Window.partitionBy("span").orderBy("part", "file"))).join(spans, "span")
-    offset = files.select(F.substring_index("path", "/", -1).alias("name"), (F.col("files_before") + F.col("spans_before")).alias("before"))
-    out = back.join(offset, "name").withColumn("start", F.col("before") + F.col("within"))
-    return out.select("id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    files = materialize(files.select("path", (F.col("files_before") + F.col("spans_before")).alias("before")), "offsets")
+    return map_arrow(spread(files), run, f"id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def id_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", **options) -> DataFrame:
@@ -149,4 +146,4 @@ def id_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", **options)
     manifest = write_ids(docs, path, folder, id_col=id_col, **options)
     if manifest.isEmpty():
         return spark.createDataFrame([], f"{id_col} {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
-    return read_ids(spark, folder, manifest, kind).withColumnRenamed("id", id_col)
+    return read_ids(manifest, kind).withColumnRenamed("id", id_col)

@@ -136,6 +136,13 @@ def _pack(capacity: int, final: bool):
     return run
 
 
+def certificate(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
+    """(sequences, a lower bound of the sequences that any packing of these pieces needs); the driver reads a count per length."""
+    counts = packed.groupBy("length").count().collect()
+    lengths = np.repeat(np.array([r["length"] for r in counts], np.int64), [r["count"] for r in counts])
+    return packed.select("sequence_id").distinct().count(), lower_bound(lengths, capacity)
+
+
 def best_fit_pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each document."""
     all_pieces = materialize(pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")

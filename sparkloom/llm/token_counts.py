@@ -9,8 +9,9 @@ byte. Transitions are determinised when they are first met and kept per Python w
 
 Texts are cut into chunks of a fixed length. What a chunk does to the state is a map: after the
 chunk's first piece boundary it is constant, before it depends on the state the chunk is entered in.
-All constant parts run in lockstep first; then the heads, each from the state that the chunks before
-it lead to (an exclusive scan under composition of maps); a segmented prefix sum adds up the counts.
+All constant parts run in lockstep first; then the heads, from all states that they may be entered in;
+the heads' maps are composed in a parallel prefix scan by doubling, and a segmented prefix sum adds up the
+counts.
 
 Null and empty texts have 0 tokens. Special tokens' strings inside texts count as the library's
 default has it: one token each. Other columns are not read and their names cannot clash.
@@ -29,6 +30,8 @@ from .common import map_arrow, slices, text_buffers
 from .pretokens import SPECIAL, boundaries, tokenizer
 
 CHUNK = 512
+#: Bytes before a chunk from which the state that it is entered in is guessed.
+WARM = 64
 #: Bytes of text whose chunks are read in lockstep.
 LANE_BYTES = 1 << 20
 
@@ -43,7 +46,7 @@ def _byte_chars() -> dict[int, str]:
 class Transducer:
     """The counting transducer of one byte-level BPE vocabulary; state 0 is the start of a piece."""
 
-    LIMIT = 150_000  # states kept; beyond, the tables start anew
+    LIMIT, PAIRS = 150_000, 1_000_000  # states and pairs of tokens kept; beyond, the tables start anew
 
     def __init__(self, path: str):
         self.model = tokenizer(path).model
@@ -144,6 +147,50 @@ class Transducer:
         state[order], count[order] = s, n
         return state, count
 
+    def heads(self, raw: np.ndarray, codes: np.ndarray, fresh: np.ndarray, lo: np.ndarray, reset: np.ndarray, whole: np.ndarray, leave: np.ndarray) -> np.ndarray:
+        """Net counts of the chunks' heads (lo to reset); whole chunks have no boundary and hand their state on.
+
+        A head's map is held for the states that it may be entered in: the state that the chunk before leaves
+        for certain, or, where that is whole, those that its own map gives, and the one that its last bytes
+        lead to from the start of a piece. Maps grow until each state that leaves a whole chunk has an entry in
+        the next one; as tokenizations of the same bytes soon agree, that takes few rounds. The maps'
+        entries then are arrays of links to the next chunk's entries, which are composed by doubling.
+        """
+        out = np.zeros(len(lo), np.int64)
+        head = np.flatnonzero(reset > lo)
+        if not len(head):
+            return out
+        behind = whole[head - 1] & (reset[head - 1] > lo[head - 1])  # behind a whole chunk
+        first, later = head[~behind], head[behind]
+        known = first << 32 | leave[first - 1]
+        todo, roots = known, np.unique(known)
+        if len(later):
+            warm = np.maximum(reset[later - 1] - WARM, lo[later - 1])
+            guess, _ = self.run(raw, codes, fresh, warm, reset[later - 1], np.zeros(len(later), np.int64))
+            todo = np.concatenate([todo, later << 32 | guess])
+        keys = exits = nets = np.zeros(0, np.int64)
+        has_head = np.zeros(len(lo) + 1, bool)
+        has_head[head] = True
+        while len(todo):  # entries (chunk, state) that have not been run yet
+            todo = np.unique(todo)
+            chunk, state = todo >> 32, todo & 0xFFFFFFFF
+            leaves, net = self.run(raw, codes, fresh, lo[chunk], reset[chunk], state)
+            on = whole[chunk] & has_head[chunk + 1]
+            link = np.where(on, (chunk + 1) << 32 | leaves, -1)
+            order = np.argsort(np.concatenate([keys, todo]), kind="stable")
+            keys, exits, nets = (np.concatenate(x)[order] for x in ((keys, todo), (exits, link), (nets, net)))
+            todo = np.setdiff1d(link[on], keys)
+        jump = np.where(exits < 0, len(keys), np.searchsorted(keys, exits))
+        jump = np.append(jump, len(keys))  # the end leads to itself
+        real = np.zeros(len(keys) + 1, bool)
+        real[np.searchsorted(keys, roots)] = True
+        for _ in range(int(len(lo)).bit_length()):
+            real[jump[real.nonzero()[0]]] = True
+            jump = jump[jump]
+        at = np.flatnonzero(real[:-1])
+        out[keys[at] >> 32] = nets[at]
+        return out
+
     def counts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
         n = len(raw)
@@ -151,6 +198,8 @@ class Transducer:
             return np.zeros(len(offsets) - 1, np.int64)
         if len(self.known) > self.LIMIT:
             self.clear()
+        if len(self.valid) > self.PAIRS:
+            self.valid = {}
         codes, fresh = self.letters_of(raw), boundaries(raw, offsets)
         starts = np.flatnonzero(fresh)
         lens = np.diff(offsets)
@@ -163,17 +212,7 @@ class Transducer:
         reset = np.minimum(np.append(starts, n)[nxt], hi)  # where the chunk's map becomes constant
         zero = np.zeros(len(lo), np.int64)
         leave, count = self.run(raw, codes, fresh, reset, hi, zero)
-        open_ = np.flatnonzero(reset > lo)  # chunks with a head
-        whole = reset == hi  # their map has no constant part
-        done = ~whole
-        while len(open_):
-            ready = open_[done[open_ - 1]]
-            out, add = self.run(raw, codes, fresh, lo[ready], reset[ready], leave[ready - 1])
-            count[ready] += add
-            through = whole[ready]
-            leave[ready[through]] = out[through]
-            done[ready] = True
-            open_ = np.setdiff1d(open_, ready, assume_unique=True)
+        count += self.heads(raw, codes, fresh, lo, reset, reset == hi, leave)
         total = np.concatenate([[0], np.cumsum(count)])
         ends = np.cumsum(chunks)
         return total[ends] - total[ends - chunks]

@@ -8,6 +8,7 @@ lists of all blocks are merged by query.
 
 Vectors that are null or hold a null or non-finite component take no part. Rows with one id are
 different candidates but for the query's own id, which is never returned. Ties go to the smaller id.
+Scores that might not fit 64 bits are an error, not a wrong number.
 Vectors shorter than others count as zero in what they lack. Ids must not be null; such rows take no part.
 """
 
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8_192
+QUERY_BLOCK, CANDIDATE_BLOCK = 2_048, 8_192
 
 
 def clean_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -57,6 +58,8 @@ def select_best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def accumulate(query: np.ndarray, cand: np.ndarray) -> np.ndarray:
     """Scores[q, c] of integer weights, a term at a time over postings lists."""
     most = int(np.abs(query).max(initial=0)) * int(np.abs(cand).max(initial=0)) * query.shape[1]
+    if most >= 1 << 63:
+        raise OverflowError("components are too large for 64-bit scores")
     kind = np.int32 if most < 1 << 31 else np.int64  # the narrowest that no score overflows
     query, scores, part = query.astype(kind), np.zeros((len(query), len(cand)), kind), np.empty(len(cand), kind)
     terms = []
@@ -94,7 +97,13 @@ def topk(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col: s
         asked = pdf["is_query"].to_numpy(bool)
         q, c = pdf[asked], pdf[~asked]
         width = int(pdf["vec"].map(len).max())
-        weights = lambda x: np.floor(scale * dense(x["vec"], width)).astype(np.int64)
+
+        def weights(part):
+            out = np.floor(scale * dense(part["vec"], width))
+            if (np.abs(out) >= 2.0**62).any():
+                raise OverflowError("components are too large for 64-bit scores")
+            return out.astype(np.int64)
+
         qid, cid, qw, cw = q["id"].to_numpy(np.int64), c["id"].to_numpy(np.int64), weights(q), weights(c)
         own, ids, best_scores = [], [], []
         order = np.argsort(cid, kind="stable")

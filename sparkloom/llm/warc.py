@@ -21,10 +21,10 @@ import struct
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, shared_dir, write_shared
+from .common import map_arrow, materialize, read_shared, shared_dir, spread, write_shared
 
 MAGIC = 0x184D2A5D  # the skippable frame of a dictionary
 ARCHIVE_BYTES, TRAIN_BYTES, DICTIONARY_BYTES = 16 << 20, 2 << 20, 64 << 10
@@ -68,6 +68,18 @@ def archive(records: list[bytes], level: int = 6) -> bytes:
     return b"".join([*out, *map(press.compress, records)])
 
 
+def frame_end(data: memoryview, at: int) -> int:
+    """Where the Zstandard frame that begins at this place ends, from its headers alone."""
+    flags = data[at + 4]
+    single, checksum = flags >> 5 & 1, flags >> 2 & 1
+    at += 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
+    while True:  # blocks: the last one's flag, the kind (1: a repeated byte), the size
+        head = int.from_bytes(data[at : at + 3], "little")
+        at += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)
+        if head & 1:
+            return at + 4 * checksum
+
+
 def records_of(data: bytes):
     """(headers, block) of each record of an archive."""
     book, at = None, 0
@@ -77,9 +89,9 @@ def records_of(data: bytes):
     unpress = zstandard.ZstdDecompressor(dict_data=book)
     view = memoryview(data)
     while at < len(data):
-        one = unpress.decompressobj()
-        raw = b"".join([one.decompress(view[at:])])
-        at = len(data) - len(one.unused_data)
+        end = frame_end(view, at)
+        raw = unpress.decompress(view[at:end])
+        at = end
         head, _, rest = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if not version.startswith("WARC/"):
@@ -127,17 +139,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return materialize(map_arrow(rows, run, "path string, records bigint, bytes bigint"), "manifest")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """record_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of every record; digests of responses are verified."""
-    files = spark.read.format("binaryFile").load(folder).select("content")
+def read_archives(manifest: DataFrame) -> DataFrame:
+    """Of the archives that a manifest lists: record_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of every record; digests of responses are verified."""
+    files = spread(manifest.select("path"))
     kinds = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
 
     def run(batches):
         bare = lambda x: (x or "<urn:x-record:>")[len("<urn:x-record:") : -1] or None
         for b in batches:
-            for content in b.column(0):
+            for path in b.column(0).to_pylist():
                 rows, size = [], 0
-                for head, block in records_of(content.as_py()):
+                for head, block in records_of(read_shared(path)):
                     http, _, body = block.partition(b"\r\n\r\n")
                     kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
                     n = int(http.lower().partition(b"content-length: ")[2].split(b"\r\n")[0])
@@ -161,5 +173,5 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", **options) -> Dat
     kind = pages.schema[id_col].dataType.simpleString()
     if manifest.isEmpty():
         return spark.createDataFrame([], f"{id_col} {kind}, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind}")
-    back = read_archives(spark, folder).drop("payload")
+    back = read_archives(manifest).drop("payload")
     return back.select(F.col("record_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -8,21 +8,22 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import idcoder, idfiles, jaccard, pretokens, queries
+from sparkloom.llm import idcoder, idfiles, jaccard, language_id, pretokens, queries
 from sparkloom.llm.ann import nearest
-from sparkloom.llm.common import read_table
+from sparkloom.llm.common import materialize, read_table
 from sparkloom.llm.idfiles import id_round_trip
 from sparkloom.llm.jaccard import jaccard_components
 from sparkloom.llm.language_id import accepted, fit, identify
 from sparkloom.llm.mixing import fill, mix_sources
-from sparkloom.llm.packing import best_fit_decreasing, best_fit_pack, cut, lower_bound
-from sparkloom.llm.token_counts import token_counts, transducer
+from sparkloom.llm.packing import best_fit_decreasing, best_fit_pack, certificate, cut, lower_bound
+from sparkloom.llm.token_counts import count_column, token_counts, transducer
 from sparkloom.llm.topk import topk
 from sparkloom.llm.url_filters import url_filters
-from sparkloom.llm.warc import archive, read_archives, records_of, warc_round_trip, write_archives
+from sparkloom.llm.warc import archive, frame_end, read_archives, records_of, warc_round_trip, write_archives
 from tests import oracle
 
 PATH = queries.bpe_path()
@@ -85,14 +86,73 @@ def test_archive_format(spark, tmp_path):
     assert [b for _, b in records_of(data)][7] == b"<html>page 7 of many like it</html>"
     assert len(list(records_of(archive(records[:3])))) == 3  # too few for a dictionary
     pages = spark.createDataFrame([(1, "u", "tiny"), (2, "u", "tiny"), (3, "u", "<p>long enough</p>"), (4, "u", "<p>long enough</p>")], "page_id bigint, url string, html string")
-    write_archives(pages, f"file://{tmp_path}/w", min_revisit_bytes=10).count()
-    back = {r["record_id"]: r for r in read_archives(spark, f"file://{tmp_path}/w").collect()}
+    manifest = write_archives(pages, f"file://{tmp_path}/w", min_revisit_bytes=10)
+    (tmp_path / "w" / "left.warc.zst.part").write_bytes(b"what a lost task left")  # not in the manifest
+    back = {r["record_id"]: r for r in read_archives(manifest).collect()}
     assert [back[i]["record_type"] for i in "1234"] == ["response"] * 3 + ["revisit"] and bytes(back["3"]["payload"]) == b"<p>long enough</p>" and back["4"]["refers_to"] == "3"
 
 
+def test_frames_end(spark):
+    """Each frame's end is found from its headers: raw, repeated and compressed blocks, many blocks, with a checksum."""
+    import zstandard
+
+    r = random.Random(8)
+    bodies = [b"", b"a" * 400_000, bytes(r.randrange(256) for _ in range(300_000)), b"some text " * 50_000, b"x"]
+    for checksum in (False, True):
+        for sized in (False, True):
+            press = zstandard.ZstdCompressor(write_checksum=checksum, write_content_size=sized)
+            frames = [press.compress(x) for x in bodies]
+            data, at = memoryview(b"".join(frames)), 0
+            for f in frames:
+                at += len(f)
+                assert frame_end(data, at - len(f)) == at
+
+
 # --- 2 ---
 
 
+def test_kneser_ney(spark):
+    """Models against the formula with dictionaries: absolute discounts, continuation counts, interpolation."""
+    from collections import Counter
+
+    import pandas as pd
+
+    texts = {"x": ["abab cab", "bca abc a", "cab"], "y": ["xyz zyx", "zz yxy abc"]}
+    rows, raw = [], {}
+    for lang, own in texts.items():
+        data = np.frombuffer("".join(own).encode(), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(t) for t in own])])
+        sym, at = language_id.symbols(data, off)
+        cols = language_id.histories(sym, at)
+        keep = np.ones(len(sym), bool)
+        keep[at[:-1]] = False
+        raw[lang] = [tuple(int(c[i]) for c in cols) for i in np.flatnonzero(keep)]
+        rows += [(lang, *g, n) for g, n in Counter(raw[lang]).items()]
+    order = language_id.ORDER
+    model = language_id.train(pd.DataFrame(rows, columns=["lang", *(f"s{i}" for i in range(order)), "n"]), sorted(texts))
+    vocab = len({g[0] for own in raw.values() for g in own}) + 1
+    for j, lang in enumerate(sorted(texts)):
+        counts = {order: Counter(raw[lang])}
+        for k in range(order - 1, 0, -1):
+            counts[k] = Counter(g[:k] for g in counts[k + 1])
+
+        def p(g, k, counts=counts):
+            if k == 0:
+                return 1 / vocab
+            once, twice = (sum(n == v for n in counts[k].values()) for v in (1, 2))
+            d = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.95)
+            same = {h: n for h, n in counts[k].items() if h[1:] == g[1:k]}
+            if not same:
+                return p(g, k - 1)
+            total = sum(same.values())
+            return max(same.get(g[:k], 0) - d, 0) / total + d * len(same) / total * p(g, k - 1)
+
+        probe = sorted({g for own in raw.values() for g in own} | {(97, 98, 99, 97), (120, 97, 97, 32), (113, 1, 2, 3)})
+        cols = [np.array([g[i] for g in probe], np.int64) for i in range(order)]
+        got = model.log_probs(order, language_id.chain(cols), language_id.chain(cols[1:]))[:, j]
+        assert np.allclose(got, [np.log2(p(g, order)) for g in probe])
+
+
 def test_language_id(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
     out = queries.op2_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id")
@@ -152,6 +212,15 @@ def test_token_counts(spark):
     assert token_counts(odd_docs(spark).limit(0), PATH).count() == 0
 
 
+def test_token_counts_without_borders():
+    """Long texts in one piece: every chunk hands its state on."""
+    r = random.Random(6)
+    texts = ["".join(r.choice(a) for _ in range(n)) for a in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", "aé漢b", "!?", "0123456789") for n in (511, 512, 1_600, 5_000)]
+    texts += ["ab " + "x" * 3_000 + " the end", "-" * 4_000, "the" * 2_000]
+    _, got = count_column(pa.array(texts), PATH)
+    assert got.tolist() == [len(ids_of(t)) for t in texts]
+
+
 def test_transducer_starts_anew(monkeypatch):
     machine = transducer(PATH)
     monkeypatch.setattr(type(machine), "LIMIT", 10)
@@ -290,6 +359,21 @@ def test_jaccard_links(spark, blocks, monkeypatch):
     assert jaccard_components(docs.limit(0), links=True).count() == 0
 
 
+def test_jaccard_many_classes_of_one_key(spark):
+    """A passage that more classes share than one block holds: no link through it, and all links beside it."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    common = " ".join(word() for _ in range(12))
+    rows = []
+    for i in range(1_300):
+        own = [word() for _ in range(14)]
+        rows.append((2 * i, f"{common} {' '.join(own)}"))
+        if i % 10 == 0:  # a near copy, one word longer
+            rows.append((2 * i + 1, f"{common} {' '.join([*own, word()])}"))
+    have = {(x["doc_id"], x["component_id"]) for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert have == {(d, d - d % 2 if d // 2 % 10 == 0 else d) for d, _ in rows}
+
+
 def test_jaccard_query_gives_links(spark, sf):
     assert queries.op5_jaccard_join(spark, sf).where("n_links > 0").count() > 0
 
@@ -487,6 +571,18 @@ def test_packing(spark, pieces, monkeypatch):
 # --- shared ---
 
 
+def test_packing_certificate(spark):
+    packed = materialize(queries.op10_best_fit_pack(spark, "/root/testdata/sf0.01"))
+    bins, bound = certificate(packed)
+    assert bound <= bins <= bound + 2 and packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+
+
+def test_topk_refuses_overflow(spark):
+    rows = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk(rows, F.col("id") % 20 == 0).collect()
+
+
 def test_encoder(spark):
     texts = [*(t for t in ODD if t), *nonsense(7, 400, "aab s'  \n\t 　éüт中12²'srevlmdt.,!?-<|>_ \r\x1c\x85"), *nonsense(8, 400, "' srevltmd\na1.")]
     import pyarrow as pa
