@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import EngineConfig
+from .functions.dates import extract_deadlines
 from .functions.privacy import identity_token, normalize_email, normalize_name, normalize_phone
-from .functions.text import snippet
+from .functions.text import mentions, snippet
 from .functions.vectors import embed_text, embed_udf
 from .operators import documents as D
 from .operators import graph as G
@@ -73,11 +74,20 @@ class Workspace:
 
     def project(self) -> None:
         have = self.tables()
+        if "messages" in have:
+            have["deadlines"] = self.deadlines()
+            if "persons" in have:
+                have["mentions"] = mentions(have["messages"], have["persons"].select(F.col("display_name").alias("name"), "person_id").where("name <> ''"))
         if have:
             nodes, edges = G.project(have)
             self.ingest.table("nodes").replace(nodes)
             self.ingest.table("edges").replace(edges)
 
+    def deadlines(self) -> DataFrame:
+        """_id, due, hardness, confidence, cue of the deadlines in messages."""
+        found = self.read("messages").select("_id", F.explode(extract_deadlines(F.col("body_text"), F.col("ts"))).alias("d"))
+        return found.select("_id", "d.due", "d.hardness", "d.confidence", "d.cue")
+
     def person_of_ref(self) -> DataFrame:
         member = self.read("persons").select("person_id", F.explode("identity_ids").alias("_id"))
         return member.join(self.read("identities").select("_id", "ref"), "_id").select("ref", "person_id")
@@ -103,13 +113,11 @@ class Workspace:
             self.ingest.table("links").replace(links)
 
     def predict(self, now: dt.datetime) -> None:
-        from .functions.dates import extract_deadlines
-
         messages = self.read("messages")
         if messages is None:
             return
         at = F.lit(now).cast("timestamp")
-        due = messages.select("_id", F.explode(extract_deadlines(F.col("body_text"), F.col("ts"))).alias("d")).select("_id", F.to_timestamp("d.due").alias("due"), "d.hardness", "d.confidence", "d.cue")
+        due = self.deadlines().withColumn("due", F.to_timestamp("due"))
         a = P.deadline_predictions(due, at).select(F.lit("deadline").alias("kind"), "_id", "score", "days")
         b = P.follow_ups(messages.withColumn("ts", F.to_timestamp("ts")), at).select(F.lit("unanswered_question").alias("kind"), "_id", "score", "days")
         self.ingest.table("predictions").replace(a.unionByName(b))
@@ -121,19 +129,33 @@ class Workspace:
         limit = limit or self.config.result_limit
         parsed, plan = parse(question, now), compile_question(question, limit, now)
         docs = self.ingest.documents()
-        shown = S.search_documents(docs)
-        allowed = D.matching(shown, [f for f in plan.request.filters() if f.field in shown.columns]).select(F.col("_id").alias("doc_id"))
+        shown = self.shown(docs)
+        allowed = D.matching(shown, plan.request.filters()).select(F.col("_id").alias("doc_id"))
         body = F.concat_ws("\n", *[F.col(c) for c in ("title", "name", "body_text", "text", "description") if c in docs.columns])
+        # fields that matter more are said more often in a document's vector
+        said = F.concat_ws("\n", *["title"] * 3, *["sender_name"] * 2, "channel", "body")
         indexed = shown.join(docs.select("_id", body.alias("body")), "_id")
         index = S.build_index(indexed, "_id", {n: F.col(n) for n in ("title", "sender_name", "channel", "provider", "body")})
         hits = S.bm25(index, parsed.retrieval_terms(), allowed, parsed.phrases, parsed.exclude)
         if self.config.enable_vector:
-            vectors = indexed.join(allowed.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").select("_id", embed_udf(self.config.embed_dim)("body").alias("v"))
+            vectors = indexed.join(allowed.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").select("_id", embed_udf(self.config.embed_dim)(said).alias("v"))
             asked = self.spark.createDataFrame([(embed_text(parsed.text, self.config.embed_dim),)], "vec array<double>")
-            hits = S.fuse(hits, S.gate(S.similar(vectors, asked, "_id", "v")), self.config.rrf_k)
+            near = S.without(S.gate(S.similar(vectors, asked, "_id", "v")), index.documents, parsed.exclude)
+            hits = S.fuse(hits, near, self.config.rrf_k)
         best = S.top(hits, limit, offset).withColumnRenamed("doc_id", "_id")
         return best.join(indexed, "_id").select("_id", "score", "kind", "provider", "title", "ts", snippet("body", " ".join(parsed.retrieval_terms())).alias("snippet")).orderBy(F.desc("score"), "_id")
 
+    def shown(self, docs: DataFrame) -> DataFrame:
+        """The content-free projection, with the persons behind each document's sender."""
+        shown = S.search_documents(docs)
+        if self.read("persons") is None:
+            return shown.withColumn("person_ids", F.array().cast("array<string>"))
+        return I.stamp_persons(shown, self.person_of_ref(), ["sender_ref"])
+
+    def facets(self, hits: DataFrame) -> DataFrame:
+        """facet, value, n over the hits of a search."""
+        return S.result_facets(self.shown(self.ingest.documents()).join(hits.select("_id"), "_id", "left_semi"))
+
     def index_version(self) -> dict[str, list[int]]:
         """What a saved index is held against: the versions of the content tables."""
         return {n: v[-1:] for n in ("messages", "files", "notes", "videos", "transcripts") if (v := self.ingest.table(n).versions())}
@@ -157,7 +179,7 @@ class Workspace:
     def recent(self, person_id: str, limit: int = 10) -> DataFrame:
         """A person's newest messages."""
         own = self.person_of_ref().where(F.col("person_id") == person_id).select(F.col("ref").alias("sender_ref"))
-        return self.read("messages").join(F.broadcast(own.limit(1000)), "sender_ref", "left_semi").orderBy(F.desc("ts"), "_id").limit(limit)
+        return self.read("messages").join(own, "sender_ref", "left_semi").orderBy(F.desc("ts"), "_id").limit(limit)
 
     def suggestions(self, limit: int = 50) -> DataFrame:
         return I.suggestions(self.read("suggestions")).limit(limit)
@@ -173,7 +195,7 @@ class Workspace:
 
     def ask(self, question: str, now: dt.datetime | None = None) -> tuple[QueryPlan, DataFrame]:
         plan = compile_question(question, self.config.result_limit, now)
-        shown = S.search_documents(self.ingest.documents())
+        shown = self.shown(self.ingest.documents())
         return plan, execute(plan, shown, lambda r: self.search(r.q, r.limit, now=now))
 
     def suggest(self, needle: str) -> DataFrame:
@@ -181,7 +203,7 @@ class Workspace:
         return S.suggest(shown.select("title", "sender_name", "channel"), needle)
 
     def timeline(self, request: SearchRequest | None = None, limit: int = 50) -> DataFrame:
-        shown = S.search_documents(self.ingest.documents())
+        shown = self.shown(self.ingest.documents())
         return D.timeline([D.matching(shown, (request or SearchRequest()).filters())], limit=limit)
 
     def passport(self) -> DataFrame:

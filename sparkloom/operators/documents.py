@@ -90,9 +90,13 @@ def predicate(df: DataFrame, f: Filter) -> Column:
 
 
 def matching(df: DataFrame, filters) -> DataFrame:
-    """Rows that satisfy all filters; Catalyst pushes what it can into the scan."""
+    """Rows that satisfy all filters; Catalyst pushes what it can into the scan.
+
+    A field that the table lacks is missing in every row: it satisfies nothing but ``exists = False``.
+    """
     filters = list(filters)
-    return df.where(reduce(lambda a, b: a & b, (predicate(df, f) for f in filters))) if filters else df
+    test = lambda f: predicate(df, f) if f.field.split(".")[0] in df.columns else F.lit(f.op == "exists" and not f.value)
+    return df.where(reduce(lambda a, b: a & b, map(test, filters))) if filters else df
 
 
 def find(df: DataFrame, q: Query) -> DataFrame:

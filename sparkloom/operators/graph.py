@@ -103,17 +103,24 @@ def shortest_paths(edges: DataFrame, src, dst, max_hops: int = 4, limit: int = 5
     hit = depth.where(F.col("id") == F.lit(dst)).first()
     if hit is None:
         return spark.createDataFrame([], f"path array<{kind}>, hops int")
-    # walk back along decreasing depth, so that only nodes on shortest paths are ever joined
-    paths = spark.createDataFrame([([dst],)], f"path array<{kind}>")
-    for d in range(hit["depth"] - 1, -1, -1):
-        level = depth.where(F.col("depth") == d).select(F.col("id").alias("src"))
-        back = links.join(level, "src", "left_semi")
-        paths = paths.withColumn("dst", F.get("path", F.lit(0))).join(back, "dst").select(F.concat(F.array("src"), "path").alias("path")).orderBy("path").limit(max(limit, 1) * 1000)
-    return paths.select("path", (F.size("path") - 1).alias("hops")).orderBy("path").limit(limit)
+    hops = hit["depth"]
+    # nodes from which the target is as far as the source's depth leaves: walking back along decreasing depth
+    target = depth.where(F.col("id") == F.lit(dst)).select("id")
+    levels = [target]
+    for d in range(hops - 1, -1, -1):
+        back = links.join(levels[0].withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+        levels.insert(0, materialize(depth.where(F.col("depth") == d).join(back, "id", "left_semi").select("id"), "level"))
+    # every prefix along these nodes is one of a shortest path, so that the first paths have the first prefixes
+    paths = spark.createDataFrame([([src],)], f"path array<{kind}>")
+    for level in levels[1:]:
+        steps = links.join(level.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        grown = paths.withColumn("src", F.element_at("path", -1)).join(steps, "src").select(F.concat("path", F.array("dst")).alias("path"))
+        paths = grown.orderBy("path").limit(max(limit, 1))
+    return paths.select("path", F.lit(hops).alias("hops")).orderBy("path").limit(limit)
 
 
 def top_nodes(nodes: DataFrame, label: str, by: str = "message_count", limit: int = 20) -> DataFrame:
-    score = F.coalesce(F.try_to_number(F.col("props")[by], F.lit("999999999999")).cast("double"), F.lit(0.0))
+    score = F.coalesce(F.col("props")[by].try_cast("double"), F.lit(0.0))
     return nodes.where(F.col("label") == label).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
@@ -135,50 +142,78 @@ def review(links: DataFrame, src, dst, accept: bool) -> DataFrame:
     return links.withColumn("state", F.when(hit, "accepted").otherwise(F.col("state"))) if accept else links.where(~hit)
 
 
+def placeholder(ref) -> Column:
+    """The node of a sender whom no person stands for."""
+    return F.concat(F.lit("per_unknown_"), F.regexp_replace(F.lower(ref), "[^a-z0-9]+", "_"))
+
+
+def _people(t: dict[str, DataFrame]) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """Nodes and edges of persons and identities, and (ref, person_id)."""
+    c, nodes, edges, owner = F.col, [], [], None
+    if "persons" in t:
+        nodes.append(node(t["persons"], c("person_id"), "Person", name=c("display_name"), message_count=c("message_count")))
+    if "identities" in t:
+        nodes.append(node(t["identities"], c("_id"), "Identity", provider=c("provider"), ref=c("ref")))
+    if "persons" in t and "identities" in t:
+        member = t["persons"].select("person_id", F.explode("identity_ids").alias("_id")).join(t["identities"].select("_id", "ref"), "_id")
+        edges.append(edge(member.where(~c("ref").startswith("contact:")), c("person_id"), "HAS_IDENTITY", c("_id")))
+        owner = member.groupBy("ref").agg(F.min_by("person_id", "_id").alias("person_id"))
+    return nodes, edges, owner
+
+
+def _messages(t: dict[str, DataFrame], owner: DataFrame | None) -> tuple[list[DataFrame], list[DataFrame]]:
+    c, msgs = F.col, t["messages"]
+    conv_key = F.concat_ws(":", "provider", "conversation_id")
+    talk = msgs.where("conversation_id is not null")
+    conv = talk.groupBy(conv_key.alias("id")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("message_count"))
+    nodes = [node(msgs, c("_id"), "Message", ts=c("ts"), provider=c("provider")), node(conv, c("id"), "Conversation", first_ts=c("first_ts"), last_ts=c("last_ts"), message_count=c("message_count"))]
+    edges = [edge(talk, c("_id"), "IN_CONVERSATION", conv_key)]
+    if owner is not None:
+        sent = msgs.where("sender_ref <> ''").join(owner.withColumnRenamed("ref", "sender_ref"), "sender_ref", "left")
+        lost = sent.where("person_id is null").select("sender_ref").distinct()
+        nodes.append(node(lost, placeholder(c("sender_ref")), "Person", name=c("sender_ref"), unresolved=F.lit("true")))
+        edges.append(edge(sent, c("_id"), "SENT_BY", F.coalesce("person_id", placeholder(c("sender_ref")))))
+        edges.append(edge(sent.where("conversation_id is not null"), c("person_id"), "PARTICIPATED_IN", conv_key).distinct())
+    reply = F.when(c("reply_to_id") != "", F.concat_ws(":", "provider", "reply_to_id"))
+    root = F.when(reply.isNull() & (c("thread_root_id") != ""), F.concat_ws(":", "provider", "thread_root_id"))
+    edges += [edge(msgs, c("_id"), "REPLY_TO", reply), edge(msgs, c("_id"), "THREAD_ROOT", root)]
+    if "attachments" in msgs.columns:
+        held = msgs.select("_id", "provider", F.explode("attachments").alias("a"))
+        edges.append(edge(held, c("_id"), "ATTACHED_TO", F.concat_ws(":", "provider", "a.provider_file_id")))
+    if "mentions" in t:
+        edges.append(edge(t["mentions"], c("_id"), "MENTIONS", c("resolved_person_id")))
+    if "deadlines" in t:
+        event = F.concat(F.lit("evt_"), F.substring(F.sha2(F.concat_ws("|", "_id", "due"), 256), 1, 24))
+        nodes.append(node(t["deadlines"].dropDuplicates(["_id", "due"]), event, "Event", due=c("due"), hardness=c("hardness"), cue=c("cue"), state=F.lit("advisory")))
+        edges.append(edge(t["deadlines"], c("_id"), "PREDICTED_DUE", event))
+    return nodes, edges
+
+
 def project(tables: dict[str, DataFrame], workspace: str = "ws") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of canonical tables: a pure function of them. Edges to missing nodes and loops are left out."""
-    nodes, edges = [], []
+    """Nodes and edges of canonical tables: a pure function of them. Edges to missing nodes and loops are left out.
+
+    Edges run from what was made to what it belongs to: a message to its file, a file to its owner, a note to
+    its author. ``mentions`` (_id, resolved_person_id) and ``deadlines`` (_id, due, hardness, cue) are optional.
+    """
     c = F.col
-    people, ids, msgs = tables.get("persons"), tables.get("identities"), tables.get("messages")
-    of_ref = None
-    if people is not None:
-        nodes.append(node(people, c("person_id"), "Person", name=c("display_name"), message_count=c("message_count")))
-    if ids is not None:
-        nodes.append(node(ids, c("_id"), "Identity", provider=c("provider"), ref=c("ref")))
-    if people is not None and ids is not None:
-        member = people.select("person_id", F.explode("identity_ids").alias("_id"))
-        edges.append(edge(member, c("person_id"), "HAS_IDENTITY", c("_id")))
-        of_ref = member.join(ids.select("_id", "ref"), "_id").groupBy("ref").agg(F.min("person_id").alias("person_id"))
-    if msgs is not None:
-        nodes.append(node(msgs, c("_id"), "Message", ts=c("ts"), provider=c("provider")))
-        key = F.concat_ws(":", "provider", "conversation_id")
-        conv = msgs.where("conversation_id is not null").groupBy(key.alias("id"), "provider").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("message_count"))
-        nodes.append(node(conv, c("id"), "Conversation", first_ts=c("first_ts"), last_ts=c("last_ts"), message_count=c("message_count")))
-        edges.append(edge(msgs.where("conversation_id is not null"), c("_id"), "IN_CONVERSATION", key))
-        if of_ref is not None:
-            sent = msgs.join(of_ref, msgs["sender_ref"] == of_ref["ref"])
-            edges.append(edge(sent, c("_id"), "SENT_BY", c("person_id")))
-            edges.append(edge(sent.where("conversation_id is not null").select("person_id", key.alias("k")).distinct(), c("person_id"), "PARTICIPATED_IN", c("k")))
-        reply = F.when(c("reply_to_id") != "", F.concat_ws(":", "provider", "reply_to_id"))
-        root = F.when(reply.isNull() & (c("thread_root_id") != ""), F.concat_ws(":", "provider", "thread_root_id"))
-        edges += [edge(msgs, c("_id"), "REPLY_TO", reply), edge(msgs, c("_id"), "THREAD_ROOT", root)]
-        files_of = msgs.select("_id", "provider", F.explode("attachments").alias("a")) if "attachments" in msgs.columns else None
-        if files_of is not None:
-            edges.append(edge(files_of, F.concat_ws(":", "provider", "a.provider_file_id"), "ATTACHED_TO", c("_id")))
-    for name, label, owner, kind in (("files", "File", "owner_ref", "OWNS"), ("notes", "Note", "author_ref", "AUTHORED")):
-        t = tables.get(name)
-        if t is not None:
-            nodes.append(node(t, c("_id"), label, name=c("name") if "name" in t.columns else c("title")))
-            if of_ref is not None and owner in t.columns:
-                edges.append(edge(t.join(of_ref, t[owner] == of_ref["ref"]), c("person_id"), kind, c("_id")))
-            if "parent_id" in t.columns:
-                edges.append(edge(t, c("_id"), "PART_OF", F.when(c("parent_id") != "", F.concat_ws(":", "provider", "parent_id"))))
+    nodes, edges, owner = _people(tables)
+    if "messages" in tables:
+        more_nodes, more_edges = _messages(tables, owner)
+        nodes, edges = nodes + more_nodes, edges + more_edges
+    for name, label, by, kind in (("files", "File", "owner_ref", "OWNS"), ("notes", "Note", "author_ref", "AUTHORED")):
+        if (t := tables.get(name)) is None:
+            continue
+        nodes.append(node(t, c("_id"), label, name=c("name") if "name" in t.columns else c("title")))
+        if owner is not None and by in t.columns:
+            edges.append(edge(t.join(owner.withColumnRenamed("ref", by), by), c("_id"), kind, c("person_id")))
+        if "parent_id" in t.columns:
+            edges.append(edge(t, c("_id"), "PART_OF", F.when(c("parent_id") != "", F.concat_ws(":", "provider", "parent_id"))))
     for name, label in (("videos", "Video"), ("transcripts", "Transcript")):
         if (t := tables.get(name)) is not None:
             nodes.append(node(t, c("_id"), label, title=c("title")))
             if name == "transcripts":
                 edges.append(edge(t, F.concat_ws(":", "provider", "video_id"), "HAS_TRANSCRIPT", c("_id")))
-    space = (people if people is not None else msgs).sparkSession.createDataFrame([(f"ws:{workspace}",)], "id string")
+    space = next(iter(tables.values())).sparkSession.createDataFrame([(f"ws:{workspace}",)], "id string")
     nodes.append(node(space, c("id"), "Workspace"))
     all_nodes = union(nodes).withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("label"))).where("_n = 1").drop("_n")
     all_edges = union(edges).where("src <> dst").dropDuplicates(["src", "type", "dst"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import RE_DECISION, RE_REJECTION, decision_signature, sentences
+from ..storage import materialize
 
 INSIGHT = "struct<detector:string,title:string,entities:array<string>,confidence:double,evidence:array<string>>"
 
@@ -50,8 +51,8 @@ def bursts(rows: DataFrame, keys: list[str], ts: str = "ts", tie: str = "key", d
 
 def hidden_introducers(pairs: DataFrame, least: int = 2) -> DataFrame:
     """a, b, mutual, confidence, evidence of pairs that never met but share contacts."""
-    edge = pairs.select("a", "b").distinct()
-    link = edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("hub", "x")
+    edge = materialize(pairs.select("a", "b").distinct(), "met")  # read four times below
+    link = edge.select(F.explode(F.array(F.struct(F.col("a").alias("hub"), F.col("b").alias("x")), F.struct(F.col("b").alias("hub"), F.col("a").alias("x")))).alias("e")).select("e.*")
     meet = link.select("hub", F.col("x").alias("a")).join(link.select("hub", F.col("x").alias("b")), "hub").where("a < b")
     found = meet.groupBy("a", "b").agg(F.count(F.lit(1)).alias("mutual"), F.slice(F.array_sort(F.collect_list("hub")), 1, 5).alias("evidence")).where(F.col("mutual") >= least)
     return found.join(edge, ["a", "b"], "left_anti").select("a", "b", "mutual", F.least(F.lit(0.55), 0.2 + 0.1 * F.col("mutual")).alias("confidence"), "evidence")
@@ -74,9 +75,15 @@ def file_references(attachments: DataFrame, file_id: str) -> DataFrame:
     return attachments.groupBy(file_id).agg(F.count(F.lit(1)).alias("references"))
 
 
-def orphan_files(files: DataFrame, references: DataFrame, known_refs: DataFrame, file_id: str = "provider_file_id", owner: str = "owner_ref") -> DataFrame:
-    """Referenced files whose owner is nobody we know, or only a chat or drive account."""
+# Providers whose accounts count as owners that should be known.
+OWNER_PROVIDERS = ("slack", "gmail", "whatsapp", "gdrive")
+
+
+def orphan_files(files: DataFrame, references: DataFrame, known_refs: DataFrame, file_id: str = "provider_file_id", owner: str = "owner_ref", providers: tuple[str, ...] | None = OWNER_PROVIDERS) -> DataFrame:
+    """Referenced files without an owner, or whose owner, an account of one of the providers (of any for None), is nobody we know."""
     rows = files.join(references, file_id)
+    if providers is not None:
+        rows = rows.where((F.coalesce(F.col(owner), F.lit("")) == "") | F.substring_index(owner, ":", 1).isin(*providers) & F.col(owner).contains(":"))
     unowned = F.coalesce(F.col(owner), F.lit("")) == ""
     known = known_refs.select(F.col("ref").alias(owner)).distinct()
     return rows.where(unowned).unionByName(rows.where(~unowned).join(known, owner, "left_anti").select(*rows.columns)).withColumn("confidence", F.lit(0.55))

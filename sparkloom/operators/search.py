@@ -91,6 +91,15 @@ def bm25(index: Index, terms: list[str], allowed: DataFrame | None = None, phras
     return out.where("score > 0").select("doc_id", "score")
 
 
+def without(scores: DataFrame, documents: DataFrame, exclude: list[str], shown: tuple[str, ...] = ("title", "sender_name")) -> DataFrame:
+    """The scores of documents whose shown columns hold none of the excluded words; for every leg of a search."""
+    if not exclude:
+        return scores
+    text = F.lower(F.concat_ws(" ", *[F.col(c) for c in shown]))
+    hit = reduce(lambda a, b: a | b, (text.contains(t) for t in exclude))
+    return scores.join(documents.where(hit).select("doc_id"), "doc_id", "left_anti")
+
+
 def top(scores: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     out = scores.orderBy(F.desc("score"), "doc_id")
     return (out.offset(offset) if offset else out).limit(limit)
@@ -136,10 +145,11 @@ def fuse(lexical: DataFrame, semantic: DataFrame, k: int = 60, window: int = 500
 
 
 def suggest(columns: DataFrame, needle: str, limit: int = 12) -> DataFrame:
-    """value, n of the string columns' values that contain needle: most frequent first, then shorter, then by value."""
-    values = columns.select(F.explode(F.array(*[F.col(c) for c in columns.columns])).alias("value"))
+    """kind (the column), value, n of the string columns' values that contain needle, whatever their case: most frequent first, then shorter, then by value."""
+    values = columns.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in columns.columns])).alias("v")).select("v.*")
     hit = values.where(F.lower("value").contains(needle.lower()))
-    return hit.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.length("value"), "value").limit(limit)
+    found = hit.groupBy("kind", F.lower("value").alias("folded")).agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return found.select("kind", "value", "n").orderBy(F.desc("n"), F.length("value"), "value", "kind").limit(limit)
 
 
 def search_documents(docs: DataFrame) -> DataFrame:

@@ -205,10 +205,11 @@ def hash_embedding_native(spark, sf_dir):
 
 
 @query(
-    """SELECT value, count(*) AS n FROM (SELECT p_name AS value FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT p_brand FROM part) WHERE contains(lower(value), 'an') GROUP BY value ORDER BY n DESC, length(value), value LIMIT 12"""
+    """SELECT kind, min(value) AS value, count(*) AS n FROM (SELECT 'p_name' AS kind, p_name AS value FROM part UNION ALL SELECT 'p_type', CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE p_type END FROM part UNION ALL SELECT 'p_brand', p_brand FROM part) WHERE contains(lower(value), 'an') GROUP BY kind, lower(value) ORDER BY n DESC, length(min(value)), min(value), kind LIMIT 12"""
 )
 def suggest_typeahead(spark, sf_dir):
-    return S.suggest(table(spark, sf_dir, "part").select("p_name", "p_type", "p_brand"), "an")
+    part = table(spark, sf_dir, "part").withColumn("p_type", F.when(F.col("p_size") % 2 == 0, F.lower("p_type")).otherwise(F.col("p_type")))
+    return S.suggest(part.select("p_name", "p_type", "p_brand"), "an")
 
 
 @query(
@@ -597,7 +598,7 @@ def orphan_files(spark, sf_dir):
     files = part.crossJoin(n).select(F.concat(F.lit("part:"), "p_partkey").alias("_id"), F.col("p_partkey").alias("provider_file_id"), (F.col("p_partkey") % F.col("n")).cast("string").alias("owner_ref"))
     attached = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("provider_file_id")).distinct()
     known = supplier.where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("ref"))
-    return N.orphan_files(files, N.file_references(attached, "provider_file_id"), known).select("_id", "references")
+    return N.orphan_files(files, N.file_references(attached, "provider_file_id"), known, providers=None).select("_id", "references")
 
 
 # --- identities -----------------------------------------------------------------------------------
@@ -754,6 +755,35 @@ def graph_path(spark, sf_dir):
     return G.shortest_paths(star_graph(spark, sf_dir)[1], "c9", "s6", 4)
 
 
+LINKS_SQL = "edges AS (SELECT DISTINCT 'p' || l_partkey AS src, 'o' || l_orderkey AS dst FROM lineitem)"
+
+
+@query(f"WITH RECURSIVE {LINKS_SQL}, {BOTH_SQL}, p(path, d) AS (SELECT ['p1'], 0 UNION ALL SELECT list_append(path, sym.dst), d + 1 FROM p JOIN sym ON sym.src = path[-1] WHERE d < 4 AND NOT list_contains(path, sym.dst) AND path[-1] <> 'p2'), f AS (SELECT path, d FROM p WHERE path[-1] = 'p2') SELECT path, CAST(d AS INTEGER) AS hops FROM f WHERE d = (SELECT min(d) FROM f) ORDER BY path LIMIT 5")
+def graph_many_paths(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    edges = G.edge(line, F.concat(F.lit("p"), "l_partkey"), "IN_ORDER", F.concat(F.lit("o"), "l_orderkey")).distinct()
+    return G.shortest_paths(edges, "p1", "p2", 4)
+
+
+@query(
+    """WITH per AS (SELECT 'per_' || c_custkey AS pid, 'id:' || c_custkey AS iid, 'cust:' || c_custkey AS ref FROM customer WHERE c_acctbal > 0),
+    m AS (SELECT 'order:' || o_orderkey AS id, 'cust:' || o_custkey AS ref, o_custkey AS k, 'shop:' || o_custkey AS conv, o_orderkey FROM orders)
+    SELECT pid AS src, 'HAS_IDENTITY' AS type, iid AS dst FROM per UNION SELECT id, 'IN_CONVERSATION', conv FROM m UNION SELECT id, 'SENT_BY', coalesce(pid, 'per_unknown_cust_' || k) FROM m LEFT JOIN per USING (ref)
+    UNION SELECT pid, 'PARTICIPATED_IN', conv FROM m JOIN per USING (ref) UNION SELECT id, 'ATTACHED_TO', 'shop:' || p_partkey FROM m JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+    UNION SELECT 'shop:' || p_partkey, 'OWNS', pid FROM part JOIN per ON ref = 'cust:' || p_size"""
+)
+def graph_project_edges(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("k"), "c_name")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    people = c.select(name("per_", "k").alias("person_id"), F.col("c_name").alias("display_name"), F.lit(0).alias("message_count"), F.array(name("id:", "k")).alias("identity_ids"))
+    ids = c.select(name("id:", "k").alias("_id"), F.lit("shop").alias("provider"), name("cust:", "k").alias("ref"))
+    held = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.struct(F.col("l_partkey").cast("string").alias("provider_file_id"))).alias("attachments"))
+    none = F.lit("").alias
+    msgs = table(spark, sf_dir, "orders").join(held, "o_orderkey", "left").select(name("order:", "o_orderkey").alias("_id"), F.lit("shop").alias("provider"), F.col("o_orderdate").cast("string").alias("ts"), name("cust:", "o_custkey").alias("sender_ref"), F.col("o_custkey").cast("string").alias("conversation_id"), none("reply_to_id"), none("thread_root_id"), "attachments")
+    files = table(spark, sf_dir, "part").select(name("shop:", "p_partkey").alias("_id"), F.col("p_name").alias("name"), name("cust:", "p_size").alias("owner_ref"))
+    return G.project({"persons": people, "identities": ids, "messages": msgs, "files": files})[1].select("src", "type", "dst")
+
+
 @query(f"WITH {NODES_SQL}, {EDGES_SQL} SELECT DISTINCT id, label FROM nodes JOIN (SELECT dst AS id FROM edges WHERE src = 'n3' UNION SELECT src FROM edges WHERE dst = 'n3') USING (id) ORDER BY id LIMIT 200")
 def graph_neighbors(spark, sf_dir):
     return G.neighbors(*star_graph(spark, sf_dir), "n3").select("id", "label")
@@ -761,9 +791,7 @@ def graph_neighbors(spark, sf_dir):
 
 @query("SELECT 'c' || c_custkey AS id, c_acctbal AS score FROM customer ORDER BY score DESC, id LIMIT 20")
 def top_nodes(spark, sf_dir):
-    nodes = star_graph(spark, sf_dir)[0]
-    score = F.coalesce(F.col("props")["balance"].cast("double"), F.lit(0.0))
-    return nodes.where("label = 'Customer'").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    return G.top_nodes(star_graph(spark, sf_dir)[0], "Customer", "balance", 20)
 
 
 @query(f"WITH {HIDDEN_SQL} SELECT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst, 'advisory' AS state FROM hi WHERE a % 2 = 0 AND b % 2 = 0")

@@ -54,7 +54,7 @@ def test_workspace(spark, tmp_path):
     doc = hits[0]["_id"]
     assert w.document(doc).count() == 1 and w.siblings(doc).count() == 3 and w.summarize(doc).count() == 1
     assert w.importance(NOW).where("importance between 0 and 1").count() == 5
-    assert w.suggest("op").count() == 1 and w.conversations().count() == 2
+    assert {r["kind"] for r in w.suggest("OP").collect()} == {"title", "channel"} and w.conversations().count() == 2
     assert w.load_index() is None and w.save_index().first()["kept"] > 0 and w.load_index().count() > 0
     assert w.recent(people["Ann Lee"]["person_id"]).count() == 3 and w.runs().count() == 2 and w.suggestions().count() >= 0
     for _ in range(2):
@@ -170,3 +170,34 @@ def test_resurfacing_takes_all_anchors(spark):
     now = F.to_timestamp(F.lit("2026-09-26 00:00:00"))
     assert {r["_id"]: round(r["similarity"], 6) for r in P.resurfacing(old, recent, now).collect()} == {1: 1.0, 2: 0.6}
     assert P.resurfacing(old, recent.limit(0), now).count() == 0
+
+
+def test_filters_of_absent_fields(spark):
+    from sparkloom.operators.documents import Filter, matching
+
+    rows = spark.createDataFrame([(1, "a")], "_id int, provider string")
+    assert matching(rows, [Filter("person_ids", "in", ["nobody"])]).count() == 0
+    assert matching(rows, [Filter("person_ids", "exists", False)]).count() == 1
+
+
+def test_excluded_words_go_from_every_leg(spark):
+    from sparkloom.operators.search import without
+
+    docs = spark.createDataFrame([("1", "Noise report", ""), ("2", "Report", "Ann")], "doc_id string, title string, sender_name string")
+    scores = spark.createDataFrame([("1", 0.9), ("2", 0.5)], "doc_id string, score double")
+    assert [r["doc_id"] for r in without(scores, docs, ["noise"]).collect()] == ["2"] and without(scores, docs, []).count() == 2
+
+
+def test_projected_events_and_mentions(spark):
+    from sparkloom.operators.graph import project
+
+    m = spark.createDataFrame([("s:1", "s", "t", "s:u1", "c", "", ""), ("s:2", "s", "t", "s:gone", "c", "1", "")], "_id string, provider string, ts string, sender_ref string, conversation_id string, reply_to_id string, thread_root_id string")
+    people = spark.createDataFrame([("per_1", "Ann", 1, ["i1"])], "person_id string, display_name string, message_count int, identity_ids array<string>")
+    ids = spark.createDataFrame([("i1", "s", "s:u1")], "_id string, provider string, ref string")
+    notes = spark.createDataFrame([("n:1", "note", "s:u1")], "_id string, title string, author_ref string")
+    said = spark.createDataFrame([("s:2", "per_1")], "_id string, resolved_person_id string")
+    due = spark.createDataFrame([("s:2", "2026-01-01T00:00:00Z", "hard", "due")], "_id string, due string, hardness string, cue string")
+    nodes, edges = project({"messages": m, "persons": people, "identities": ids, "notes": notes, "mentions": said, "deadlines": due})
+    got = {(r["src"], r["type"], r["dst"]) for r in edges.collect()}
+    assert {("s:2", "SENT_BY", "per_unknown_s_gone"), ("s:2", "MENTIONS", "per_1"), ("s:2", "REPLY_TO", "s:1"), ("n:1", "AUTHORED", "per_1"), ("per_1", "PARTICIPATED_IN", "s:c")} <= got
+    assert sum(t == "PREDICTED_DUE" for _, t, _ in got) == 1 and nodes.where("label = 'Event'").count() == 1
