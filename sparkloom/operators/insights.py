@@ -53,6 +53,8 @@ def hidden_introducers(pairs: DataFrame, least: int = 2) -> DataFrame:
     """a, b, mutual, confidence, evidence of pairs that never met but share contacts."""
     edge = materialize(pairs.select("a", "b").distinct(), "met")  # read four times below
     link = edge.select(F.explode(F.array(F.struct(F.col("a").alias("hub"), F.col("b").alias("x")), F.struct(F.col("b").alias("hub"), F.col("a").alias("x")))).alias("e")).select("e.*")
+    # the few bytes of links grow to their squares per hub: dealt by number, which is not undone for being small
+    link = link.repartition(int(edge.sparkSession.conf.get("spark.sql.shuffle.partitions")), "hub")
     meet = link.select("hub", F.col("x").alias("a")).join(link.select("hub", F.col("x").alias("b")), "hub").where("a < b")
     found = meet.groupBy("a", "b").agg(F.count(F.lit(1)).alias("mutual"), F.slice(F.array_sort(F.collect_list("hub")), 1, 5).alias("evidence")).where(F.col("mutual") >= least)
     return found.join(edge, ["a", "b"], "left_anti").select("a", "b", "mutual", F.least(F.lit(0.55), 0.2 + 0.1 * F.col("mutual")).alias("confidence"), "evidence")
