@@ -51,6 +51,8 @@ from .shingles import KEY_BYTES, fold, segment_keys, shingle_sets, sketches
 CHUNK_KEYS, SLOT_KEYS, MAX_PARTS, BLOCK = 750_000, 400_000, 20_000, 1_000
 #: Hashes of one block of a component's sets.
 BLOCK_HASHES = 1_000_000
+#: Pairs that a task remembers having given; when it forgets them, repeated ones are dropped after the shuffle alone.
+GIVEN = 300_000
 #: Bits at most of the filters that pick rows before a join (16 MB), and bits for each row that they mark.
 FILTER_BITS, BITS_PER_ROW = 1 << 27, 16
 #: One text in so many is looked at to find common words, and how many of them share such a word.
@@ -493,7 +495,7 @@ def _cross(percent: int, whole: bool):
         open_ = comp[a] != comp[b]
         a, b = a[open_], b[open_]
         if not len(a):
-            return
+            return None
         d, total = _distances(t.column(7).take(pa.array(order)).to_pylist(), a, b), n[a] + n[b]
         ok = (100 + percent) * d <= (100 - percent) * total
         a, b, share = a[ok], b[ok], d[ok] / total[ok]
@@ -506,19 +508,30 @@ def _cross(percent: int, whole: bool):
                 keep.append(at[_spanning(comp[a[at]], comp[b[at]], closest)])
             keep = np.concatenate(keep)
             a, b = a[keep], b[keep]
-        pairs = np.unique(np.stack([np.minimum(cid[a], cid[b]), np.maximum(cid[a], cid[b])], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["x", "y"])
+        return np.unique(np.stack([np.minimum(cid[a], cid[b]), np.maximum(cid[a], cid[b])], 1), axis=0)
 
     def run(batches):
         held, rows = [], 0
+        given: set[tuple[int, int]] = set()  # pairs that share several keys of the task leave it once
+
+        def new():
+            if (pairs := look(held)) is None:
+                return
+            some = [p for p in map(tuple, pairs.tolist()) if p not in given]
+            if len(given) > GIVEN:
+                given.clear()
+            given.update(some)
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], ["x", "y"])
+
         for t in _groups(batches, 3):
             held.append(t)
             rows += t.num_rows
             if rows >= 2 * BLOCK:
-                yield from look(held)
+                yield from new()
                 held, rows = [], 0
         if held:
-            yield from look(held)
+            yield from new()
 
     return run
 
