@@ -17,7 +17,7 @@ from .pretokens import release
 __all__ = ["bounded_batches", "drop_table", "map_arrow", "materialize", "read_shared", "read_table", "shared_dir", "slices", "spread", "text_buffers", "write_shared"]
 
 #: Bytes of text that a numpy kernel works on at once; bounds a Python worker's memory.
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 19
 
 
 #: Tasks that read files at most.
