@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, slices, text_buffers
-from .pretokens import encoder
+from .common import SLICE_BYTES, map_arrow, materialize, slices, text_buffers
+from .pretokens import IdEncoder, encoder
 
 #: Pieces in a partition.
 PARTITION_PIECES = 40_000
@@ -38,15 +38,15 @@ def cut(length: int, capacity: int) -> list[int]:
     return ([rest] if rest else []) + [capacity] * full
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, kept: int = IdEncoder.LIMIT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """id, piece, start, length, ids_crc32 of every document's pieces."""
 
     def run(batches):
-        encode = encoder(path).encode
+        encode, encoder(path).limit = encoder(path).encode, kept
         for b in batches:
             raw, offsets = text_buffers(b.column(1))
             row, piece, start, length, crc = [], [], [], [], []
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, slice_bytes):
                 ids, at = encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 buffer = np.insert(ids, at[1:], end_id).astype("<u4")
                 at = at + np.arange(len(at))
@@ -143,9 +143,13 @@ def certificate(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
     return packed.select("sequence_id").distinct().count(), lower_bound(lengths, capacity)
 
 
-def best_fit_pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each document."""
-    all_pieces = materialize(pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
+def best_fit_pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", kept: int = IdEncoder.LIMIT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each document.
+
+    A worker keeps the ids of at most ``kept`` pieces of text and encodes ``slice_bytes`` at once: less of both
+    takes less memory and more time.
+    """
+    all_pieces = materialize(pieces(docs, path, capacity, end_id, id_col, text_col, kept, slice_bytes), "pieces")
     n = all_pieces.where(F.col("length") < capacity).count()
     kind = all_pieces.schema["id"].dataType.simpleString()
     schema = f"part int, id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, kept boolean, gap bigint"

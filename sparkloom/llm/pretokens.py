@@ -176,6 +176,7 @@ class IdEncoder:
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
+        self.limit = self.LIMIT
         self.newline = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.clear()
 
@@ -233,7 +234,7 @@ class IdEncoder:
         ends = np.append(starts[1:], len(raw))
         keys = span_hashes(raw, starts, ends)
         codes, distinct = factorize(keys)
-        if self.pieces + len(distinct) > self.LIMIT:
+        if self.pieces + len(distinct) > self.limit:
             self.clear()
         found = self._find(distinct)
         new = np.flatnonzero(found < 0)
