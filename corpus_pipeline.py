@@ -79,7 +79,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_pack(docs, bpe_path())
+    # workers that ran the stages before are still there: less memory for each, more time
+    return best_fit_pack(docs, bpe_path(), kept=250_000, slice_bytes=1 << 18)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
