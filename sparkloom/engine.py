@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import EngineConfig
 from .functions.dates import extract_deadlines
-from .functions.privacy import identity_token, normalize_email, normalize_name, normalize_phone
+from .functions.privacy import KeyRing, identity_token, normalize_email, normalize_name, normalize_phone
 from .functions.text import mentions, snippet
 from .functions.vectors import embed_text, embed_udf
 from .operators import documents as D
@@ -28,9 +28,16 @@ DERIVED = ("identities", "persons", "suggestions", "nodes", "edges", "insights",
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, folder: str, config: EngineConfig | None = None, pepper: bytes = b"workspace", self_refs: tuple[str, ...] = ()):
-        self.spark, self.config, self.pepper, self.self_refs = spark, config or EngineConfig(), pepper, list(self_refs)
-        self.ingest = Ingest(spark, folder)
+    """Tables below a folder. ``master`` is the key that private fields are sealed under; only a configuration
+    without encryption does without it."""
+
+    def __init__(self, spark: SparkSession, folder: str, config: EngineConfig | None = None, pepper: bytes | None = None, self_refs: tuple[str, ...] = (), master: bytes | None = None, name: str = "workspace"):
+        self.spark, self.config, self.self_refs = spark, config or EngineConfig(), list(self_refs)
+        if self.config.enable_encryption and not master:
+            raise ValueError("encryption is on: give a master key, or EngineConfig(enable_encryption=False)")
+        ring = KeyRing(master, name) if self.config.enable_encryption else None
+        self.pepper = pepper or (ring.pepper() if ring else b"workspace")
+        self.ingest = Ingest(spark, folder, ring)
         self.sources = builtin()
 
     def read(self, name: str) -> DataFrame | None:

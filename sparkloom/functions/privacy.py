@@ -7,10 +7,11 @@ import hmac
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
+from ..schema import EXTRA, SEGMENT
 from .text import RE_EMAIL, text_of
 
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -79,10 +80,6 @@ def unseal(sealed: Column, key: bytes, workspace: str, doc_id: Column, field: st
     return F.when((sealed["kid"] == kid) & (sealed["aad"] == F.sha2(aad, 256)), plain)
 
 
-#: Fields that are sealed, by kind.
-SEALED_FIELDS = {"message": ["body_text"], "email": ["body_text"], "note": ["body_text"], "transcript": ["text"], "video": ["description"], "file": [], "identity": ["email", "phone"]}
-
-
 def hkdf(secret: bytes, info: bytes, salt: bytes = b"", length: int = 32) -> bytes:
     """RFC 5869 with SHA-256."""
     prk = hmac.new(salt or bytes(32), secret, hashlib.sha256).digest()
@@ -97,6 +94,7 @@ class KeyRing:
     """Keys of a workspace, all derived from one master key."""
 
     def __init__(self, master: bytes, workspace: str):
+        self.workspace = workspace
         self.wrapping = hkdf(master, f"wkek|{workspace}".encode())
 
     def data_key(self, source: str) -> bytes:
@@ -107,3 +105,47 @@ class KeyRing:
 
     def fingerprint(self) -> str:
         return hashlib.sha256(self.wrapping).hexdigest()[:16]
+
+
+#: Fields that are stored sealed, and their types, by table.
+SEALED_FIELDS = {
+    "messages": {"body_text": "string", "extra": EXTRA},
+    "notes": {"body_text": "string"},
+    "transcripts": {"text": "string", "segments": f"array<{SEGMENT}>"},
+    "videos": {"description": "string"},
+    "identities": {"email": "string", "phone": "string"},
+    "raw_artifacts": {"payload": "string"},
+    "quarantine": {"payload": "string"},
+}
+#: Columns that name a row, where it isn't _id.
+ROW_NAME = {"raw_artifacts": "raw_id", "quarantine": "raw_id"}
+
+
+def _is_sealed(df: DataFrame, field: str) -> bool:
+    kind = df.schema[field].dataType
+    return isinstance(kind, StructType) and "ct" in kind.names
+
+
+class Sealer:
+    """Seals a table's fields and opens them; nested ones as JSON, nulls as they are.
+
+    Each value is bound to workspace, row and field. A wrong key, or a value moved elsewhere, opens as null.
+    """
+
+    def __init__(self, ring: KeyRing, table: str):
+        self.fields, self.doc = SEALED_FIELDS.get(table, {}), F.col(ROW_NAME.get(table, "_id"))
+        self.key, self.kid, self.workspace = ring.data_key(table), ring.fingerprint(), ring.workspace
+
+    def close(self, df: DataFrame) -> DataFrame:
+        def one(f: str, kind: str) -> Column:
+            text = F.col(f) if kind == "string" else F.to_json(f, {"ignoreNullFields": "false"})
+            return F.when(F.col(f).isNotNull(), seal(text, self.key, self.workspace, self.doc, f, self.kid))
+
+        return df.withColumns({f: one(f, kind) for f, kind in self.fields.items() if f in df.columns and not _is_sealed(df, f)})
+
+    def open(self, df: DataFrame) -> DataFrame:
+        def one(f: str, kind: str) -> Column:
+            text = unseal(F.col(f), self.key, self.workspace, self.doc, f, self.kid)
+            return text if kind == "string" else F.from_json(text, kind)
+
+        return df.withColumns({f: one(f, kind) for f, kind in self.fields.items() if f in df.columns and _is_sealed(df, f)})

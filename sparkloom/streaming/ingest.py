@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.privacy import SEALED_FIELDS, KeyRing, Sealer
 from ..functions.text import content_hash
 from ..schema import CONTENT_TABLES
 from ..sources.normalize import normalize, quarantine
@@ -21,8 +22,8 @@ class VersionedTable:
 
     KEEP = 2
 
-    def __init__(self, spark: SparkSession, folder: str, name: str):
-        self.spark, self.path = spark, f"{folder.rstrip('/')}/{name}"
+    def __init__(self, spark: SparkSession, folder: str, name: str, sealer: Sealer | None = None):
+        self.spark, self.path, self.sealer = spark, f"{folder.rstrip('/')}/{name}", sealer
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -35,11 +36,18 @@ class VersionedTable:
         names = [s.getPath().getName() for s in self._fs.listStatus(root)]
         return sorted(int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
 
-    def read(self) -> DataFrame | None:
+    def stored(self) -> DataFrame | None:
+        """The current version as it is stored."""
         have = self.versions()
         return self.spark.read.parquet(f"{self.path}/v{have[-1]}") if have else None
 
+    def read(self) -> DataFrame | None:
+        """The current version, sealed fields opened; those that a query leaves out are not decrypted."""
+        have = self.stored()
+        return have if have is None or self.sealer is None else self.sealer.open(have)
+
     def replace(self, df: DataFrame) -> None:
+        df = df if self.sealer is None else self.sealer.close(df)
         have = self.versions()
         new = (have[-1] if have else 0) + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v{new}")
@@ -49,7 +57,9 @@ class VersionedTable:
     def merge(self, rows: DataFrame, key: str = "_id", order: str = "_ingested") -> None:
         """Latest row per key of what is there and rows; the first time a key came stays."""
         rows = rows.where(F.col(key).isNotNull()).withColumn("created_at", F.col(order))
-        old = self.read()
+        old = self.stored()
+        if self.sealer is not None:  # what is sealed stays as it is
+            rows, old = self.sealer.close(rows), None if old is None else self.sealer.close(old)
         both = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
         w = Window.partitionBy(key)
         best = both.withColumn("_n", F.row_number().over(w.orderBy(F.col(order).desc()))).withColumn("created_at", F.min("created_at").over(w))
@@ -60,11 +70,13 @@ class VersionedTable:
 
 
 class Ingest:
-    """One workspace's tables below a shared folder."""
+    """One workspace's tables below a shared folder, their private fields sealed where a key ring is given."""
+
+    def __init__(self, spark: SparkSession, folder: str, ring: KeyRing | None = None):
+        self.spark, self.folder, self.ring = spark, folder, ring
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.table = lambda name: VersionedTable(spark, folder, name)
+    def table(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, self.folder, name, Sealer(self.ring, name) if self.ring and name in SEALED_FIELDS else None)
 
     def run(self, raw: DataFrame, stamp: int) -> dict[str, int]:
         """Take up one batch of envelopes; stamp orders batches. Returns counts for the run log.

@@ -13,6 +13,7 @@ from sparkloom.sources.datasource import EnvelopeSource, write_envelopes
 from sparkloom.sources.registry import Descriptor, Registry, builtin
 from sparkloom.sources.throttle import AdaptiveRate, Backoff, TokenBucket
 
+MASTER = b"m" * 32
 NOW = dt.datetime(2026, 9, 26, 18, tzinfo=dt.timezone.utc)
 
 
@@ -31,7 +32,7 @@ def envelopes(spark, provider, stream, payloads):
 
 
 def test_workspace(spark, tmp_path):
-    w = Workspace(spark, f"file://{tmp_path}/ws")
+    w = Workspace(spark, f"file://{tmp_path}/ws", master=MASTER)
     raw = envelopes(spark, "slack", "c1", [*SLACK, "not json"]).unionByName(envelopes(spark, "gmail", "inbox", [GMAIL]))
     got = w.sync(raw, 1, now=NOW)
     assert (got["seen"], got["fresh"], got["quarantined"]) == (7, 7, 1)
@@ -65,10 +66,42 @@ def test_workspace(spark, tmp_path):
     assert w.read("persons") is None and w.read("messages").count() == 5
 
 
+def test_private_fields_are_sealed(spark, tmp_path):
+    from sparkloom.config import EngineConfig
+
+    folder = lambda n: f"file://{tmp_path}/{n}"
+    video = {"id": "v2", "title": "W", "_caption_srt": "1\n00:00:01,500 --> 00:00:02,000\nhello there"}
+    raw = envelopes(spark, "slack", "c1", [*SLACK, "not json"]).unionByName(envelopes(spark, "gmail", "inbox", [GMAIL])).unionByName(envelopes(spark, "youtube", "y", [video]))
+    with pytest.raises(ValueError):
+        Workspace(spark, folder("no"))
+    plain = Workspace(spark, folder("plain"), EngineConfig(enable_encryption=False))
+    closed = Workspace(spark, folder("closed"), master=MASTER)
+    for w in (plain, closed):
+        w.sync(raw, 1, rebuild=False)
+        w.ingest.table("messages").merge(w.read("messages").where("provider = 'gmail'").withColumn("_ingested", F.lit(2).cast("bigint")))
+    other = Workspace(spark, folder("closed"), master=b"x" * 32)
+    for name, field in (("messages", "body_text"), ("messages", "extra"), ("transcripts", "text"), ("transcripts", "segments"), ("raw_artifacts", "payload"), ("quarantine", "payload")):
+        rows = lambda t: sorted(map(str, t.collect()))
+        a, b = plain.read(name), closed.read(name)
+        assert a.schema.simpleString() == b.schema.simpleString() and rows(a) == rows(b), name
+        assert rows(a) != rows(closed.ingest.table(name).stored()), name
+        assert other.read(name).where(F.col(field).isNotNull()).count() == 0, name
+    texts = "".join(str(r) for n in ("messages", "raw_artifacts", "quarantine", "transcripts") for r in closed.ingest.table(n).stored().collect())
+    assert not any(x in texts for x in ("rebalancer", "hello there", "not json"))
+    # an address stays only where it is a sender's reference
+    assert "ann@corp.io" not in str(closed.ingest.table("messages").stored().where("provider = 'slack'").collect())
+    # a table of a time without encryption opens as it is, and is sealed by the next write
+    later = Workspace(spark, folder("plain"), master=MASTER)
+    assert later.read("messages").where("body_text like '%rebalancer%'").count() == 1
+    later.sync(envelopes(spark, "slack", "c2", [slack(9, "u1", "new")]), 3, rebuild=False)
+    assert later.read("messages").where("body_text like '%rebalancer%' or body_text = 'new'").count() == 2
+    assert "rebalancer" not in str(later.ingest.table("messages").stored().collect())
+
+
 def test_stream_equals_batch(spark, tmp_path):
     spark.dataSource.register(EnvelopeSource)
     write_envelopes(f"{tmp_path}/in", "slack", "c1", SLACK[:2])
-    w = Workspace(spark, f"file://{tmp_path}/ws")
+    w = Workspace(spark, f"file://{tmp_path}/ws", master=MASTER)
     read = lambda: spark.readStream.format("envelopes").option("path", f"{tmp_path}/in").load()
     w.ingest.stream(read(), f"{tmp_path}/ck").awaitTermination()
     assert w.read("messages").count() == 2
