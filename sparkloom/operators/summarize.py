@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -40,25 +40,44 @@ def _terms(sentence: str) -> Counter:
     return Counter(_stem(w) for w in words if len(w) >= 2 and w not in STOPWORDS and not w.isdigit())
 
 
-def rank_sentences(parts: list[str]) -> np.ndarray:
-    """PageRank over the graph of sentences whose TF-IDF cosine exceeds LINK; scores relative to the best, later ones damped."""
+def sentence_links(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """from, to, weight of the sentences whose TF-IDF cosine exceeds LINK. Each sentence meets those that share a
+    term with it through the term's postings, so that memory goes with terms and links, not with sentences squared."""
     bags, n = [_terms(p) for p in parts], len(parts)
     df = Counter(t for b in bags for t in b)
-    names = {t: i for i, t in enumerate(sorted(df))}
-    m = np.zeros((n, max(1, len(names))))
+    places, values, own = defaultdict(list), defaultdict(list), []
     for i, b in enumerate(bags):
-        for t, c in b.items():
-            m[i, names[t]] = (1 + math.log(c)) * (math.log((n + 1) / (df[t] + 1)) + 1)
-    norm = np.sqrt((m**2).sum(1, keepdims=True))
-    m = m / np.where(norm > 0, norm, 1)
-    links = m @ m.T
-    np.fill_diagonal(links, 0)
-    links[links <= LINK] = 0
-    total = links.sum(1, keepdims=True)
-    step = np.where(total > 0, links / np.where(total > 0, total, 1), 1.0 / n)
+        w = {t: (1 + math.log(c)) * (math.log((n + 1) / (df[t] + 1)) + 1) for t, c in b.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        own.append({t: x / norm for t, x in w.items() if df[t] > 1})
+        for t, x in own[-1].items():
+            places[t].append(i)
+            values[t].append(x)
+    at, value = {t: np.array(x) for t, x in places.items()}, {t: np.array(x) for t, x in values.items()}
+    ends, weights = [], []
+    for i, w in enumerate(own):
+        near = np.empty(0, np.int64)
+        if w:
+            row = np.bincount(np.concatenate([at[t] for t in w]), np.concatenate([value[t] * x for t, x in w.items()]), n)
+            row[i] = 0
+            near = np.flatnonzero(row > LINK)
+            weights.append(row[near])
+        ends.append(near)
+    if not weights:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return np.repeat(np.arange(n), [len(x) for x in ends]), np.concatenate(ends), np.concatenate(weights)
+
+
+def rank_sentences(parts: list[str]) -> np.ndarray:
+    """PageRank over the graph of linked sentences; scores relative to the best, later ones damped."""
+    n = len(parts)
+    src, dst, weight = sentence_links(parts)
+    total = np.bincount(src, weight, n)
+    step = weight / total[src]
+    alone = total == 0
     score = np.full(n, 1.0 / n)
     for _ in range(ROUNDS):
-        new = (1 - DAMPING) / n + DAMPING * (score @ step)
+        new = (1 - DAMPING) / n + DAMPING * (np.bincount(dst, score[src] * step, n) + score[alone].sum() / n)
         moved, score = np.abs(new - score).sum(), new
         if moved < SETTLED:
             break
