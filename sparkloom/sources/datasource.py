@@ -1,7 +1,9 @@
-"""A Python data source of raw envelopes: JSON-lines folders read as streams with an integer cursor each.
+"""A Python data source of raw envelopes: folders of JSON lines, each file a stream of a provider.
 
-``spark.read.format("envelopes").option("path", dir)`` and ``spark.readStream`` both work. Each file is
-one stream of a provider (``provider__stream.jsonl``): one partition each, its offset the line number.
+``spark.read.format("envelopes").option("path", dir)`` and ``spark.readStream`` both work, on a folder that every
+node sees (``provider__stream.jsonl``). Files are read in stretches of ``stretchBytes`` (32 MB), a line by the stretch
+that it begins in, and an envelope's id ends in the byte that its line begins at. Offsets of a stream are bytes behind
+a line's end; a last line that is still being written waits for its end. The driver reads sizes and last lines only.
 """
 
 from __future__ import annotations
@@ -16,31 +18,56 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from ..schema import RAW
 
 
+STRETCH = 32 << 20
+
+
 class _Stretch(InputPartition):
-    def __init__(self, path: str, first: int, last: int | None):
+    def __init__(self, path: str, first: int, last: int):
         self.path, self.first, self.last = path, first, last
 
 
 def _rows(stretch: _Stretch):
     provider, _, stream = os.path.basename(stretch.path).removesuffix(".jsonl").partition("__")
-    with open(stretch.path, encoding="utf-8") as f:
-        for n, line in enumerate(f):
-            if n < stretch.first or (stretch.last is not None and n >= stretch.last):
-                continue
-            line = line.rstrip("\n")
-            yield (f"{provider}:{stream}:{n}", provider, stream, line, hashlib.sha256(line.encode()).hexdigest(), None)
+    with open(stretch.path, "rb") as f:
+        if stretch.first:  # past the line that an earlier stretch began
+            f.seek(stretch.first - 1)
+            f.readline()
+        at = f.tell()
+        while at < stretch.last and (line := f.readline()):
+            body = line.rstrip(b"\r\n")
+            yield (f"{provider}:{stream}:{at}", provider, stream, body.decode("utf-8", "replace"), hashlib.sha256(body).hexdigest(), None)
+            at += len(line)
 
 
 def _files(options) -> list[str]:
     return sorted(glob.glob(os.path.join(options["path"].removeprefix("file://"), "*.jsonl")))
 
 
+def _stretches(options, spans: list[tuple[str, int, int]]) -> list[_Stretch]:
+    step = int(options.get("stretchBytes", STRETCH))
+    return [_Stretch(p, a, min(a + step, last)) for p, first, last in spans for a in range(first, last, step)] or [_Stretch(os.devnull, 0, 0)]
+
+
+def _whole_lines(path: str, block: int = 1 << 16) -> int:
+    """Bytes up to the end of the last line that has one; read backwards, and so one line at most."""
+    end = os.path.getsize(path)
+    with open(path, "rb") as f:
+        while end > 0:
+            first = max(0, end - block)
+            f.seek(first)
+            at = f.read(end - first).rfind(b"\n")
+            if at >= 0:
+                return first + at + 1
+            end = first
+    return 0
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.options = options
 
     def partitions(self):
-        return [_Stretch(p, 0, None) for p in _files(self.options)] or [_Stretch(os.devnull, 0, 0)]
+        return _stretches(self.options, [(p, 0, os.path.getsize(p)) for p in _files(self.options)])
 
     def read(self, partition):
         yield from _rows(partition)
@@ -54,14 +81,10 @@ class _StreamReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self):
-        out = {}
-        for p in _files(self.options):
-            with open(p, "rb") as f:
-                out[p] = sum(1 for _ in f)
-        return out
+        return {p: _whole_lines(p) for p in _files(self.options)}
 
     def partitions(self, start, end):
-        return [_Stretch(p, start.get(p, 0), n) for p, n in end.items() if n > start.get(p, 0)] or [_Stretch(os.devnull, 0, 0)]
+        return _stretches(self.options, [(p, start.get(p, 0), n) for p, n in end.items()])
 
     def read(self, partition):
         yield from _rows(partition)

@@ -111,6 +111,35 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.format("envelopes").option("path", f"{tmp_path}/in").load().count() == 5
 
 
+def test_envelopes_in_stretches(spark, tmp_path):
+    """Whatever the stretch, each line is read once; a line without its end waits for it in a stream."""
+    spark.dataSource.register(EnvelopeSource)
+    lines = ["{}", '{"a": "ü€"}', "", '{"b": "' + "x" * 90 + '"}', '{"c": 1}\r', "last"]
+    (tmp_path / "in").mkdir()
+    path = tmp_path / "in" / "slack__c1.jsonl"
+    path.write_bytes("\n".join(lines).encode())
+    (tmp_path / "in" / "slack__none.jsonl").write_bytes(b"")
+    want = [x.rstrip("\r") for x in lines]
+    ids = set()
+    for step in (1, 2, 7, 64, 1 << 20):
+        rows = spark.read.format("envelopes").option("path", str(tmp_path / "in")).option("stretchBytes", step).load().collect()
+        rows.sort(key=lambda r: int(r["raw_id"].rsplit(":", 1)[1]))
+        assert [r["payload"] for r in rows] == want, step
+        ids.add(tuple(r["raw_id"] for r in rows))
+    assert len(ids) == 1
+    seen = []
+
+    def take():
+        stream = spark.readStream.format("envelopes").option("path", str(tmp_path / "in")).option("stretchBytes", 50).load()
+        stream.writeStream.foreachBatch(lambda df, n: seen.extend(r["payload"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(seen)
+
+    assert take() == sorted(want[:-1])
+    with path.open("ab") as f:
+        f.write(b" of all\nnext\n")
+    assert take() == sorted([*want[:-1], "last of all", "next"])
+
+
 @pytest.mark.parametrize(
     "provider, payload, table, want",
     [
