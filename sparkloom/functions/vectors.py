@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,6 +49,7 @@ def hash_embedding_rows(docs, text_col: str, id_col: str, dim: int = 1024):
     return rows.join(norm, id_col).where("norm > 0 and v <> 0").select(id_col, "bucket", (F.col("v") / F.col("norm")).alias("value"))
 
 
+@lru_cache(1 << 16)
 def _stem(w: str) -> str:
     if len(w) <= 3 or w.isdigit():
         return w

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from ..functions.vectors import _stem
 
 DAMPING, ROUNDS, SETTLED, LINK = 0.85, 40, 1e-6, 0.05
 LEAST_CHARS, MOST_CHARS = 25, 600
+MEETINGS = 1 << 20  # of sentences held at once, besides one sentence's
 RE_SPLIT = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])|\n{2,}"
 
 
@@ -41,31 +43,32 @@ def _terms(sentence: str) -> Counter:
 
 
 def sentence_links(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """from, to, weight of the sentences whose TF-IDF cosine exceeds LINK. Each sentence meets those that share a
-    term with it through the term's postings, so that memory goes with terms and links, not with sentences squared."""
-    bags, n = [_terms(p) for p in parts], len(parts)
-    df = Counter(t for b in bags for t in b)
-    places, values, own = defaultdict(list), defaultdict(list), []
-    for i, b in enumerate(bags):
-        w = {t: (1 + math.log(c)) * (math.log((n + 1) / (df[t] + 1)) + 1) for t, c in b.items()}
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        own.append({t: x / norm for t, x in w.items() if df[t] > 1})
-        for t, x in own[-1].items():
-            places[t].append(i)
-            values[t].append(x)
-    at, value = {t: np.array(x) for t, x in places.items()}, {t: np.array(x) for t, x in values.items()}
-    ends, weights = [], []
-    for i, w in enumerate(own):
-        near = np.empty(0, np.int64)
-        if w:
-            row = np.bincount(np.concatenate([at[t] for t in w]), np.concatenate([value[t] * x for t, x in w.items()]), n)
-            row[i] = 0
-            near = np.flatnonzero(row > LINK)
-            weights.append(row[near])
-        ends.append(near)
-    if not weights:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return np.repeat(np.arange(n), [len(x) for x in ends]), np.concatenate(ends), np.concatenate(weights)
+    """from, to, weight of the sentences whose TF-IDF cosine exceeds LINK. Sentences meet through the postings of
+    their terms, some sentences at a time, so that memory goes with terms and links, not with sentences squared."""
+    n, name = len(parts), {}
+    rows = [(i, name.setdefault(t, len(name)), c) for i, p in enumerate(parts) for t, c in _terms(p).items()]
+    at, term, count = np.array(rows, np.int64).reshape(-1, 3).T
+    df = np.bincount(term, minlength=1)
+    w = (1 + np.log(count)) * (np.log((n + 1) / (df[term] + 1)) + 1)
+    w /= np.sqrt(np.bincount(at, w * w, n))[at]
+    shared = df[term] > 1
+    at, term, w = at[shared], term[shared], w[shared]
+    order = np.argsort(term, kind="stable")
+    held, weight, first = at[order], w[order], np.cumsum(df * (df > 1)) - df * (df > 1)
+    meets = df[term]
+    part = np.cumsum(np.bincount(at, meets, n) + n) // MEETINGS  # of each sentence
+    ends = [*(np.flatnonzero(np.diff(part)) + 1), n]
+    found = []
+    for lo, hi in zip([0, *ends], ends):
+        a, b = np.searchsorted(at, [lo, hi])
+        own = np.repeat(np.arange(a, b), meets[a:b])
+        place = first[term[own]] + np.arange(len(own)) - np.repeat(np.cumsum(meets[a:b]) - meets[a:b], meets[a:b])
+        cosine = np.bincount((at[own] - lo) * n + held[place], w[own] * weight[place], (hi - lo) * n).reshape(hi - lo, n)
+        cosine[np.arange(hi - lo), np.arange(lo, hi)] = 0
+        i, j = np.nonzero(cosine > LINK)
+        found.append((i + lo, j, cosine[i, j]))
+    src, dst, cosines = (np.concatenate(x) for x in zip(*found))
+    return src, dst, cosines
 
 
 def rank_sentences(parts: list[str]) -> np.ndarray:
@@ -85,7 +88,7 @@ def rank_sentences(parts: list[str]) -> np.ndarray:
 
 
 def textrank(text: str, most: int = 5) -> list[str]:
-    parts = [p for p in split_sentences(text) if (len(p) >= LEAST_CHARS or p.endswith("?")) and sum(ch.isalpha() for ch in p) >= 3]
+    parts = [p for p in split_sentences(text) if (len(p) >= LEAST_CHARS or p.endswith("?")) and sum(islice((1 for ch in p if ch.isalpha()), 3)) == 3]
     if not parts:
         return []
     k = max(1, min(most, round(0.6 * math.sqrt(len(parts)))))
