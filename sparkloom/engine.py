@@ -133,8 +133,25 @@ class Workspace:
 
     def search(self, question: str, limit: int | None = None, offset: int = 0, now: dt.datetime | None = None) -> DataFrame:
         """Hits with score, title and snippet: BM25, fused with vectors where the configuration has them on."""
+        scores, indexed, terms = self.scores(question, now)
+        return self.hits(S.top(scores, limit or self.config.result_limit, offset), indexed, terms)
+
+    def respond(self, question: str, limit: int | None = None, offset: int = 0, now: dt.datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(hits; total, total_is_exact, engine; facets): the last two over all that is found, up to the window of S.page."""
         limit = limit or self.config.result_limit
-        parsed, plan = parse(question, now), compile_question(question, limit, now)
+        scores, indexed, terms = self.scores(question, now)
+        page, total = S.page(scores, limit, offset)
+        found = S.top(scores, S.window(limit)).select(F.col("doc_id").alias("_id"))
+        engine = F.lit("hybrid" if self.config.enable_vector else "lexical").alias("engine")
+        return self.hits(page, indexed, terms), total.select("*", engine), S.result_facets(indexed.join(found, "_id", "left_semi"))
+
+    def hits(self, best: DataFrame, indexed: DataFrame, terms: list[str]) -> DataFrame:
+        shown = ["_id", "score", "kind", "provider", "title", "ts", snippet("body", " ".join(terms)).alias("snippet")]
+        return best.withColumnRenamed("doc_id", "_id").join(indexed, "_id").select(*shown).orderBy(F.desc("score"), "_id")
+
+    def scores(self, question: str, now: dt.datetime | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+        """(doc_id and score of all that a question finds, the documents with their bodies, the terms asked for)."""
+        parsed, plan = parse(question, now), compile_question(question, self.config.result_limit, now)
         docs = self.ingest.documents()
         shown = self.shown(docs)
         allowed = D.matching(shown, plan.request.filters()).select(F.col("_id").alias("doc_id"))
@@ -149,8 +166,7 @@ class Workspace:
             asked = self.spark.createDataFrame([(embed_text(parsed.text, self.config.embed_dim),)], "vec array<double>")
             near = S.without(S.gate(S.similar(vectors, asked, "_id", "v")), index.documents, parsed.exclude)
             hits = S.fuse(hits, near, self.config.rrf_k)
-        best = S.top(hits, limit, offset).withColumnRenamed("doc_id", "_id")
-        return best.join(indexed, "_id").select("_id", "score", "kind", "provider", "title", "ts", snippet("body", " ".join(parsed.retrieval_terms())).alias("snippet")).orderBy(F.desc("score"), "_id")
+        return hits, indexed, parsed.retrieval_terms()
 
     def shown(self, docs: DataFrame) -> DataFrame:
         """The content-free projection, with the persons behind each document's sender."""

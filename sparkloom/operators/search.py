@@ -105,11 +105,15 @@ def top(scores: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return (out.offset(offset) if offset else out).limit(limit)
 
 
+def window(limit: int) -> int:
+    """How many results a page, its total and its facets look at."""
+    return max(500, 20 * limit)
+
+
 def page(scores: DataFrame, limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(page, total and whether it is exact): both over a window of max(500, 20 * limit) results."""
-    window = max(500, 20 * limit)
-    seen = top(scores, window)
-    total = seen.agg(F.count(F.lit(1)).alias("total")).withColumn("total_is_exact", F.col("total") < window)
+    """(page, total and whether it is exact): both over a window of results."""
+    seen = top(scores, window(limit))
+    total = seen.agg(F.count(F.lit(1)).alias("total")).withColumn("total_is_exact", F.col("total") < window(limit))
     return top(seen, limit, offset), total
 
 

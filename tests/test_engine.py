@@ -44,6 +44,9 @@ def test_workspace(spark, tmp_path):
     hits = w.search("rebalancer").collect()
     assert len(hits) == 1 and "rebalancer" in hits[0]["snippet"]
     assert w.search("in:c1 budget").count() == 1 and w.search("zzz").count() == 0
+    page, total, facets = w.respond("budget", limit=1)
+    assert page.count() == 1 and total.first().asDict() == {"total": w.search("budget").count(), "total_is_exact": True, "engine": "lexical"}
+    assert facets.where("facet = 'provider'").agg(F.sum("n")).first()[0] == total.first()["total"]
     plan, rows = w.ask("how many messages are in slack", NOW)
     assert plan.execution == "facets" and rows.where("kind = 'message'").agg(F.sum("n")).first()[0] == 4
     kinds = {r["kind"] for r in w.predictions().collect()}
