@@ -45,3 +45,13 @@ def test_events_with_nulls_and_copies_as_in_the_sql(spark, sf, tmp_path):
     con = oracle.connect(str(tmp_path))
     for name in ("interaction_pairs", "interaction_stats", "dormant_pairs"):
         oracle.assert_same(workload.QUERIES[name](spark, str(tmp_path)), con, workload.ORACLES[name])
+
+
+def test_shared_contacts_by_tiles_are_those_of_the_join(spark):
+    pairs = spark.range(900).selectExpr("cast(least(id % 41, id * id % 37) as string) AS a", "cast(greatest(id % 41, id * id % 37) as string) AS b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").where("a <> b")
+    have, want = (insights.hidden_introducers(pairs, blocks=how) for how in (True, False))
+    rows = sorted(map(tuple, have.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) > 100 and max(len(r[4]) for r in rows) == 5
+    few = insights.hidden_introducers(pairs, least=3, evidence=False, blocks=True)
+    assert sorted(map(tuple, few.collect())) == [r[:4] for r in rows if r[2] >= 3]
+    assert blocks.dense(9000, 180_000_000_000) and not blocks.dense(10_000_000, 5_000_000_000)
