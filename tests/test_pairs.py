@@ -37,6 +37,13 @@ def test_pairs_are_not_made_one_by_one(spark):
     assert blocks.sizes(docs.selectExpr("conversation_id AS g", "sender_ref AS r").distinct()) == (3, 3, 3)
 
 
+def test_advisory_edges_come_from_tiles_of_dense_contacts(spark, sf, monkeypatch):
+    monkeypatch.setattr(blocks, "dense", lambda members, paths: True)
+    have = workload.advisory_edges(spark, sf)
+    assert "ArrowPython" in str(have._jdf.queryExecution()) or "InArrow" in str(have._jdf.queryExecution())
+    oracle.assert_same(have, oracle.connect(sf), workload.ORACLES["advisory_edges"])
+
+
 def test_events_with_nulls_and_copies_as_in_the_sql(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet")
     odd = e.limit(40).withColumn("user_id", F.when(F.col("event_id") % 3 > 0, F.col("user_id"))).withColumn("event_type", F.when(F.col("event_id") % 5 > 0, F.col("event_type")))
