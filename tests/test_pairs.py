@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import workload
-from sparkloom.operators import blocks, insights
+from sparkloom.operators import blocks, identity, insights
 from tests import oracle
 
 
@@ -62,3 +62,14 @@ def test_shared_contacts_by_tiles_are_those_of_the_join(spark):
     few = insights.hidden_introducers(pairs, least=3, evidence=False, blocks=True)
     assert sorted(map(tuple, few.collect())) == [r[:4] for r in rows if r[2] >= 3]
     assert blocks.dense(9000, 180_000_000_000) and not blocks.dense(10_000_000, 5_000_000_000)
+
+
+@pytest.mark.parametrize("how", [True, False])
+@pytest.mark.parametrize("read", [blocks.READ, 20])
+def test_cooccurrence_at_bucket_ends(spark, monkeypatch, how, read):
+    monkeypatch.setattr(blocks, "READ", read)
+    rows = [(f"g{k % 2}", k * 7 % 29, k * k * 13 % 4000) for k in range(120)] + [("g0", 50, 600), ("g0", 51, 1200), ("g0", 52, 1201)]
+    docs = spark.createDataFrame(rows, "conversation_id string, sender_ref long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    want = {(min(r, o), max(r, o)) for g, r, t in rows for h, o, u in rows if g == h and r != o and abs(t - u) <= 600}
+    have = list(map(tuple, identity.cooccurrence_pairs(docs, 600, blocks=how).collect()))
+    assert sorted(have) == sorted(want) and (50, 51) in want and (50, 52) not in want
