@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import drop_table, materialize, shared_dir
+from ..storage import drop_table, materialize, read_shared, shared_dir, write_shared
 from .pretokens import release
 
 __all__ = ["bounded_batches", "drop_table", "map_arrow", "materialize", "read_shared", "read_table", "shared_dir", "slices", "spread", "text_buffers", "write_shared"]
@@ -83,39 +81,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def write_shared(uri: str, data: bytes) -> None:
-    """Write a whole file in the shared folder at once; a retried task replaces it by the same content.
-
-    Folders without a scheme or with file: are written directly, others through Arrow's file systems.
-    """
-    if "://" in uri and not uri.startswith("file:"):
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
-        store.create_dir(os.path.dirname(path), recursive=True)
-        with store.open_output_stream(path) as f:
-            f.write(data)
-        return
-    path = uri.removeprefix("file://").removeprefix("file:")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with open(part, "wb") as f:
-        f.write(data)
-    os.replace(part, path)
-
-
-def read_shared(uri: str) -> bytes:
-    """A whole file of the shared folder."""
-    if "://" in uri and not uri.startswith("file:"):
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
-        with store.open_input_stream(path) as f:
-            return f.read()
-    with open(uri.removeprefix("file://").removeprefix("file:"), "rb") as f:
-        return f.read()
-
-
 def spread(files: DataFrame) -> DataFrame:
     """A written table of files, dealt out so that each task reads one or few of them."""
     return files.repartition(max(1, min(files.count(), MAX_READERS)))

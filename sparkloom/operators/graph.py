@@ -130,10 +130,10 @@ def census(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def advisory_edges(insights: DataFrame, nodes: DataFrame) -> DataFrame:
-    """LINKED_TO edges of insights about two entities that are both in the graph."""
+def advisory_edges(insights: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """LINKED_TO edges of insights about two entities that are both in the graph; without nodes, the insights are of nodes only."""
     two = insights.where(F.size("entities") == 2).select(F.get("entities", F.lit(0)).alias("src"), F.get("entities", F.lit(1)).alias("dst"), F.lit("LINKED_TO").alias("type"), F.lit("advisory").alias("state"), "confidence")
-    return among(two, nodes)
+    return two if nodes is None else among(two, nodes)
 
 
 def review(links: DataFrame, src, dst, accept: bool) -> DataFrame:

@@ -44,6 +44,46 @@ def test_advisory_edges_come_from_tiles_of_dense_contacts(spark, sf, monkeypatch
     oracle.assert_same(have, oracle.connect(sf), workload.ORACLES["advisory_edges"])
 
 
+def test_dense_contacts_are_not_made_pair_by_pair(spark, tmp_path, monkeypatch):
+    """Who met whom is never a table of pairs, and the edges are those of the SQL."""
+    e = spark.range(6000).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + 3600 * (id * id % 211)) AS ts", "id * 7919 % 307 AS user_id", "'x' AS event_type")
+    e = e.withColumn("user_id", F.when(F.col("event_id") % 97 > 0, F.col("user_id")))
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    written, materialize = [], insights.materialize
+    monkeypatch.setattr(insights, "materialize", lambda df, name="table": written.append(name) or materialize(df, name))
+    monkeypatch.setattr(insights, "meetings", None)
+    con = oracle.connect(str(tmp_path))
+    for name in ("advisory_edges", "hidden_introducer"):
+        oracle.assert_same(workload.QUERIES[name](spark, str(tmp_path)), con, workload.ORACLES[name])
+    assert "met" not in written and con.sql(workload.ORACLES["advisory_edges"]).fetchall()
+
+
+@pytest.mark.parametrize("read", [blocks.READ, 20])
+@pytest.mark.parametrize("size", [None, 64])
+def test_tiles_of_groups_are_those_of_the_pairs(spark, monkeypatch, read, size):
+    monkeypatch.setattr(blocks, "READ", read)
+    monkeypatch.setattr(blocks, "LOOK", 16)
+    rows = [(f"g{k % 61}", k * k % 397) for k in range(1500)] + [("g1", None), (None, 3)]
+    docs = spark.createDataFrame(rows, "conversation_id string, sender_ref long")
+    groups = docs.dropna().selectExpr("conversation_id AS g", "sender_ref AS r").distinct()
+    want = {(a, b) for g, a in rows for h, b in rows if g == h and g is not None and None not in (a, b) and a < b}
+    tiles = blocks.tiles_of_groups(groups, *blocks.sizes(groups)[:2], size)
+    assert set(map(tuple, blocks.linked_pairs(tiles).collect())) == want and sum(k if p != q else k // 2 for (p, q), k in tiles.links.items()) == len(want)
+    degree = Counter(x for ab in want for x in ab)
+    assert 0 < tiles.paths() <= sum(n * (n - 1) // 2 for n in degree.values())
+
+
+def test_hidden_pairs_of_given_ends_without_counts(spark):
+    docs = spark.range(1500).selectExpr("concat('g', id % 61) AS conversation_id", "id * id % 397 AS sender_ref")
+    ends = spark.range(0, 400, 3)
+    whole = sorted(map(tuple, insights.hidden_in_groups(docs, blocks=False).collect()))
+    assert whole == sorted(map(tuple, insights.hidden_in_groups(docs, blocks=True).collect())) and {r[2] >= insights.SURE for r in whole} == {True, False}
+    few = [(r[0], r[1], r[3]) for r in whole if r[0] % 3 == r[1] % 3 == 0]
+    for how in (True, False):
+        have = insights.hidden_in_groups(docs, evidence=False, blocks=how, ends=ends, counts=False)
+        assert sorted(map(tuple, have.collect())) == few and few
+
+
 def test_events_with_nulls_and_copies_as_in_the_sql(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet")
     odd = e.limit(40).withColumn("user_id", F.when(F.col("event_id") % 3 > 0, F.col("user_id"))).withColumn("event_type", F.when(F.col("event_id") % 5 > 0, F.col("event_type")))
