@@ -29,7 +29,8 @@ _ALL_BITS = HIT_BITS + ZERO_BITS
 _U = np.uint64
 _TOP, _WORD, _NARROW, _STEP = _U(48), _U(16), _U(1 << 44), _U(_ALL_BITS)
 _SLOTS1, _SLOTS2 = 4096, 8192
-_COARSE = 256  # 256 * 256 ids
+_PART = ZERO_BITS - 10
+_PARTS = ZERO >> _PART
 
 
 @functools.cache
@@ -37,111 +38,136 @@ def _curves() -> tuple[np.ndarray, np.ndarray]:
     """Fixed integer tables: stretch (of a 12-bit probability) and squash (of -2047..2047), in 256ths."""
     p = (np.arange(4096) + 0.5) / 4096
     stretch = np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int32)
-    squash = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 1, 4095).astype(np.int32)
+    squash = np.clip(np.rint(4096 / (1 + np.exp(-np.maximum(np.arange(-2048, 2048), -2047) / 256))), 1, 4095).astype(np.int32)
     return stretch, squash
 
 
-class _Mixer:
-    """The probability of one decision per lane, from two adaptive probabilities."""
+def _runs(block: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) of each id of a block among the order-0 shares in force at its place.
+
+    A share is 1 and a fixed amount for each time the id was seen, so its ends follow from counts of the block's distinct ids.
+    """
+    ids, rank = np.unique(block, return_inverse=True)
+    count = np.zeros(len(ids), np.int64)
+    low, high = block * (ZERO // width), (block + 1) * (ZERO // width)
+    for seen, end in zip(RENEW, (*RENEW[1:], len(block)), strict=True):
+        if seen >= len(block):
+            break
+        count = np.bincount(rank[:seen], minlength=len(ids))
+        spare, upto = (ZERO - width) // seen, np.cumsum(count)
+        at = rank[seen:end]
+        low[seen:end] = (ids + spare * (upto - count))[at]
+        high[seen:end] = (ids + 1 + spare * upto)[at]
+    high[block == width - 1] = ZERO
+    return low, high
 
-    def __init__(self, lanes: int, contexts: int):
-        self.p, self.q = (np.full(lanes * contexts, 2048, np.int32) for _ in range(2))
-        self.w, self.v = (np.full(lanes, 1 << 15, np.int32) for _ in range(2))
-        self.base = np.arange(lanes) * contexts
 
-    def predict(self, m: int, one, two):
-        stretch, squash = _curves()
-        self.at = self.base[:m] + one, self.base[:m] + two
-        self.now = self.p[self.at[0]], self.q[self.at[1]]
-        self.s = stretch[self.now[0]], stretch[self.now[1]]
-        dot = (self.w[:m] * self.s[0] + self.v[:m] * self.s[1]) >> 16
-        self.out = squash[np.minimum(np.maximum(dot, -2047), 2047) + 2048]
-        return self.out
-
-    def update(self, m: int, hit):
-        target = hit.astype(np.int32) << 12
-        error = (target - self.out) * 6
-        for w, s in ((self.w, self.s[0]), (self.v, self.s[1])):
-            w[:m] += (s * error + (1 << 11)) >> 12
-        for table, at, p in ((self.p, self.at[0], self.now[0]), (self.q, self.at[1], self.now[1])):
-            table[at] = np.minimum(np.maximum(p + ((target - p) >> 4), 1), 4095)
-
-
-def _search(table: np.ndarray, base: np.ndarray, lo: np.ndarray, end, target: np.ndarray) -> np.ndarray:
-    """The last place from lo on, before end, whose value is at most the target; there are up to 256 places."""
-    flat = table.reshape(-1)
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        probe = lo + step
-        ok = probe < end
-        ok &= flat[base + np.where(ok, probe, lo)] <= target
-        lo = np.where(ok, probe, lo)
-    return lo
+class _Shares:
+    """The order-0 shares of each lane: the distinct ids seen before the last renewal in their order, before them -1 and nothing."""
+
+    def __init__(self, width: int):
+        self.width, self.seen = width, 0
+
+    def renew(self, seen: np.ndarray):
+        """From the ids of all lanes (places, lanes)."""
+        n, lanes = seen.shape
+        h = np.full((lanes, n + 1), -1, np.int32)
+        h[:, 1:] = np.sort(seen.T, axis=1)
+        new = np.ones(h.shape, bool)
+        np.not_equal(h[:, 1:], h[:, :-1], out=new[:, 1:])
+        at = np.flatnonzero(new)
+        lane, place = np.divmod(at, n + 1)
+        self.seen, self.spare = n, (ZERO - self.width) // n
+        self.ids, before = h.ravel()[at], np.maximum(place - 1, 0)
+        self.upto = np.append(before[1:], 0)  # ids of a lane up to each distinct one
+        self.upto[np.searchsorted(lane, np.arange(lanes), "right") - 1] = n
+        self.low = self.ids + self.spare * before.astype(np.int32)
+        # how many begin before each of _PARTS stretches of the shares, so that a search looks at few
+        begun = np.bincount(lane * (_PARTS + 1) + (self.low >> _PART) + 1, minlength=lanes * (_PARTS + 1))
+        self.steps = [1 << k for k in reversed(range(int(begun.reshape(lanes, -1)[:, 1:].max()).bit_length()))]
+        self.begun = np.cumsum(begun).astype(np.int32)
+
+    def find(self, lanes: np.ndarray, target: np.ndarray):
+        """(id, low, high) of the shares that hold the targets."""
+        last = self.width - 1
+        if not self.seen:
+            each = ZERO // self.width
+            ids = np.minimum(target // each, last)
+            return ids, ids * each, np.where(ids == last, ZERO, (ids + 1) * each)
+        part = lanes * (_PARTS + 1) + (target >> _PART)
+        at, end = self.begun.take(part) - 1, self.begun.take(part + 1) - 1
+        for step in self.steps:
+            probe = np.minimum(at + step, end)
+            at = np.where(self.low.take(probe) <= target, probe, at)
+        own, upto, low = self.ids.take(at), self.spare * self.upto.take(at), self.low.take(at)
+        seen = target < own + 1 + upto
+        ids = np.where(seen, own, np.minimum(target - upto, last))
+        low = np.where(seen | (ids == own), low, ids + upto)
+        return ids, low, np.where(ids == last, ZERO, np.where(seen, own + 1 + upto, low + 1))
 
 
 class _Models:
-    """The predictions of all three orders in each lane; the first m lanes are active."""
-
-    def __init__(self, lanes: int, width: int):
-        self.id1, self.conf1 = np.zeros(lanes * _SLOTS1, np.int32), np.zeros(lanes * _SLOTS1, np.int8)
-        self.id2, self.conf2 = np.zeros(lanes * _SLOTS2, np.int32), np.zeros(lanes * _SLOTS2, np.int8)
+    """The predictions of orders 2 and 1 in each lane, and how likely they are right; the first m lanes are active.
+
+    Both orders are worked on at once: arrays have the order (2, then 1) before the lane, and for the two probabilities that are
+    mixed a place between these.
+    """
+
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes)
+        self.slots = np.zeros(lanes * (_SLOTS2 + _SLOTS1), np.int32)  # 16 * id + confidence
+        self.base = np.stack([lane * _SLOTS2, lanes * _SLOTS2 + lane * _SLOTS1])
+        self.p = np.full(lanes * 256, 2048, np.int32)
+        self.contexts = lane * 256 + np.array([[0, 64 + 32], [128, 192 + 16]])[:, :, None]
+        self.w = np.full((2, 2, lanes), 1 << 15, np.int32)
         self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.two, self.one = _Mixer(lanes, 64), _Mixer(lanes, 32)
-        self.base1, self.base2 = np.arange(lanes) * _SLOTS1, np.arange(lanes) * _SLOTS2
-        self.width, self.row = width, np.arange(lanes) * width
-        self.counts = np.zeros((lanes, width), np.int16)
-        self.low = np.empty((lanes, width), np.int32)
-        self.low[:] = np.arange(width) * (ZERO // width)
-        self.coarse = self.low[:, ::_COARSE].copy()  # every 256th, small enough to stay in cache
-        self.seen = 0
 
     def predict(self, m: int):
         """(order-2 id, order-1 id, share of an order-2 hit, of any hit)."""
-        a, b = self.last[:m], self.last2[:m]
-        self.at1 = self.base1[:m] + (((a * 40503) >> 3) & (_SLOTS1 - 1))
-        self.at2 = self.base2[:m] + ((((a * 40503 + b) * 2654435761) >> 12) & (_SLOTS2 - 1))
-        i1, c1, i2, c2 = self.id1[self.at1], self.conf1[self.at1], self.id2[self.at2], self.conf2[self.at2]
-        self.had = i1, c1, i2, c2
+        stretch, squash = _curves()
+        self.at = self.base[:, :m].copy()
+        a = self.last[:m] * 40503
+        self.at[0] += (((a + self.last2[:m]) * 2654435761) >> 12) & (_SLOTS2 - 1)
+        self.at[1] += (a >> 3) & (_SLOTS1 - 1)
+        had = self.slots.take(self.at)
+        self.ids, self.conf = had >> 4, had & 15
+        (i2, i1), (c2, c1) = self.ids, self.conf
         agree = i1 == i2
-        group = agree.astype(np.int8) << 4
-        p2 = self.two.predict(m, c2 + group, c1 + group + np.int8(32)) * (c2 > 0)
-        p1 = self.one.predict(m, c1, c2 + np.int8(16)) * ((c1 > 0) & (~agree | (c2 == 0)))
+        self.context = self.contexts[:, :, :m].copy()
+        self.context[0] += self.conf + (agree << 4)
+        self.context[1] += self.conf[::-1]
+        self.now = self.p.take(self.context)
+        self.s = stretch.take(self.now)
+        dot = self.w[:, :, :m] * self.s
+        self.out = squash.take(((dot[:, 0] + dot[:, 1]) >> 16) + 2048, mode="clip")
+        none = c2 == 0
+        p2 = self.out[0] * ~none
+        p1 = self.out[1] * ((c1 > 0) & (~agree | none))
         first = np.minimum(p2 << (HIT_BITS - 12), SCALE - 64)
         second = np.where(p1 > 0, np.maximum(((SCALE - first) * p1) >> 12, 1), 0)
-        first = first.astype(np.int64)
-        return i2, i1, first, first + np.minimum(second, SCALE - first - 32)
-
-    def zero_share(self, m: int, ids):
-        """(low, high) of ids among the order-0 shares."""
-        at = self.row[:m] + ids
-        low = self.low.reshape(-1)[at]
-        high = np.where(ids + 1 < self.width, self.low.reshape(-1)[np.minimum(at + 1, self.low.size - 1)], ZERO)
-        return low, high
-
-    def zero_find(self, lanes, target):
-        """The id whose order-0 share holds the target, by binary search in every lane: among every 256th, then there."""
-        at = _search(self.coarse, lanes * self.coarse.shape[1], np.zeros(len(lanes), np.int64), self.coarse.shape[1], target)
-        return _search(self.low, self.row[lanes], at * _COARSE, np.minimum(self.width, (at + 1) * _COARSE), target)
+        return i2, i1, first.astype(np.int64), (first + np.minimum(second, SCALE - first - 32)).astype(np.int64)
 
     def update(self, m: int, ids, hit2, hit1):
-        self.two.update(m, hit2)
-        self.one.update(m, hit1)
-        i1, c1, i2, c2 = self.had
-        for ident, conf, at, i, c in ((self.id1, self.conf1, self.at1, i1, c1), (self.id2, self.conf2, self.at2, i2, c2)):
-            same = (i == ids) & (c > 0)
-            grown = np.where(same, np.minimum(c + np.int8(1), np.int8(15)), c >> 1)
-            new = grown == 0
-            ident[at] = np.where(new, ids, i)
-            conf[at] = np.where(new, np.int8(1), grown)
+        target = np.empty((2, 1, m), np.int32)
+        np.left_shift(hit2, 12, out=target[0, 0], casting="unsafe")
+        np.left_shift(hit1, 12, out=target[1, 0], casting="unsafe")
+        move = (target[:, 0] - self.out) * 6
+        move = self.s * move[:, None]
+        move += 1 << 11
+        move >>= 12
+        self.w[:, :, :m] += move
+        move = target - self.now
+        move >>= 4
+        move += self.now
+        np.maximum(move, 1, out=move)
+        self.p[self.context] = np.minimum(move, 4095, out=move)
+        conf = self.conf
+        same = (self.ids == ids) & (conf > 0)
+        grown = np.where(same, np.minimum(conf + 1, 15), conf >> 1)
+        now = ids.astype(np.int32)
+        self.slots[self.at] = np.where(grown == 0, (now << 4) + 1, (self.ids << 4) + grown)
         self.last2[:m] = self.last[:m]
         self.last[:m] = ids
-        self.counts.reshape(-1)[self.row[:m] + ids] += 1
-        self.seen += 1
-        if self.seen in RENEW:
-            spare = (ZERO - self.width) // self.seen
-            for l in range(m):
-                share = self.counts[l].astype(np.int32) * spare + 1
-                self.low[l, 1:] = np.cumsum(share[:-1])
-            self.coarse[:m] = self.low[:m, ::_COARSE]
 
 
 class _Coder:
@@ -207,9 +233,13 @@ def encode(ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
     rest = n - BLOCK * (lanes - 1)
     cap = BLOCK * 3 + 16  # a step narrows an interval by 35 bits at most
     words = np.zeros(lanes * cap, np.uint16)
-    coder, models = _Coder(lanes, words, np.arange(lanes) * cap, False), _Models(lanes, width)
+    coder, models = _Coder(lanes, words, np.arange(lanes) * cap, False), _Models(lanes)
     pad = np.zeros(lanes * BLOCK, np.int32)
     pad[:n] = ids
+    low, high = (np.zeros((BLOCK, lanes), np.int32) for _ in range(2))
+    for l in range(lanes):
+        k = BLOCK if l < lanes - 1 else rest
+        low[:k, l], high[:k, l] = _runs(ids[l * BLOCK : l * BLOCK + k].astype(np.int64), width)
     pad = np.ascontiguousarray(pad.reshape(lanes, BLOCK).T)
     for t in range(BLOCK if lanes > 1 else rest):
         m = lanes if t < rest else lanes - 1
@@ -217,7 +247,7 @@ def encode(ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
         i2, i1, first, hits = models.predict(m)
         hit2 = (first > 0) & (now == i2)
         hit1 = ~hit2 & (hits > first) & (now == i1)
-        coder.code(m, *_bounds(first, hits, hit2, hit1, *models.zero_share(m, now)))
+        coder.code(m, *_bounds(first, hits, hit2, hit1, low[t, :m], high[t, :m]))
         models.update(m, now, hit2, hit1)
     out = []
     for l in range(lanes):
@@ -241,8 +271,9 @@ def decode(blocks: list[tuple[int, np.ndarray]]) -> np.ndarray:
     size = size[order]
     start = np.concatenate([[0], np.cumsum([len(blocks[o][1]) for o in order])])
     words = np.concatenate([*(blocks[o][1] for o in order), np.zeros(8, np.uint16)]).astype(np.uint64)
-    coder, models = _Coder(len(blocks), words, start[:-1] + 1, True), _Models(len(blocks), int(widths[0]))
-    out = np.zeros((int(size[0]), len(blocks)), np.int32)
+    coder, models = _Coder(len(blocks), words, start[:-1] + 1, True), _Models(len(blocks))
+    out, shares = np.zeros((int(size[0]), len(blocks)), np.int32), _Shares(int(widths[0]))
+    low, high = (np.zeros(len(blocks), np.int64) for _ in range(2))
     live = np.searchsorted(-size, -np.arange(int(size[0])), "left")
     for t, m in enumerate(live.tolist()):
         i2, i1, first, hits = models.predict(m)
@@ -253,9 +284,11 @@ def decode(blocks: list[tuple[int, np.ndarray]]) -> np.ndarray:
         missed = np.flatnonzero(~hit2 & ~hit1)
         if len(missed):
             h = hits[missed]
-            now[missed] = models.zero_find(missed, (x[missed] - (h << ZERO_BITS)) // (SCALE - h))
-        coder.code(m, *_bounds(first, hits, hit2, hit1, *models.zero_share(m, now)))
+            now[missed], low[missed], high[missed] = shares.find(missed, (x[missed] - (h << ZERO_BITS)) // (SCALE - h))
+        coder.code(m, *_bounds(first, hits, hit2, hit1, low[:m], high[:m]))
         models.update(m, now, hit2, hit1)
         out[t, :m] = now
+        if t + 1 in RENEW:
+            shares.renew(out[: t + 1])
     back = np.argsort(order, kind="stable")
     return np.concatenate([out[: size[b], b] for b in back.tolist()])

@@ -29,7 +29,8 @@ from .common import map_arrow, materialize, read_shared, shared_dir, slices, spr
 from .pretokens import encoder
 
 MAGIC = b"SLID\x00\x00\x00\x01"
-FILE_IDS = 3_000_000
+#: Ids of a file, about: its blocks are coded together, so that larger files take less time for each id and more memory (some 30 bytes an id).
+FILE_IDS = 12_000_000
 #: Aimed-for text in one range of documents, in characters, and how many ranges there are at most. A range is written
 #: file by file, so its size does not bound memory.
 RANGE_CHARS, MAX_RANGES = 24 << 20, 50_000

@@ -454,6 +454,23 @@ def test_coder_compresses():
     assert sum(len(w) for _, w in idcoder.encode(ids)) * 2 < len(ids) / 2
 
 
+@pytest.mark.parametrize("width", [2, 300, 65536])
+def test_order_0_shares_are_those_of_counted_ids(width):
+    block = (np.arange(700) ** 2 % 1009 * 64) % width
+    block[-3:] = width - 1, 0, width - 1
+    low, high = idcoder._runs(block, width)
+    shares = idcoder._Shares(width)
+    for t, x in enumerate(block.tolist()):
+        if t in idcoder.RENEW:
+            shares.renew(np.repeat(block[:t, None], 3, axis=1))
+        seen = max((r for r in idcoder.RENEW if r <= t), default=0)
+        share = np.bincount(block[:seen], minlength=width) * ((idcoder.ZERO - width) // seen) + 1 if seen else np.full(width, idcoder.ZERO // width)
+        ends = np.append(np.cumsum(share) - share, idcoder.ZERO)
+        assert (low[t], high[t]) == (ends[x], ends[x + 1])
+        lanes, at = np.array([0, 2, 2]), np.array([low[t], high[t] - 1, (low[t] + high[t]) // 2])
+        assert all((f == w).all() for f, w in zip(shares.find(lanes, at), (x, low[t], high[t]), strict=True))
+
+
 def test_id_files(spark, monkeypatch):
     monkeypatch.setattr(idfiles, "RANGE_CHARS", 100_000)
     docs = odd_docs(spark)
