@@ -28,9 +28,11 @@ from . import idcoder
 from .common import map_arrow, materialize, read_shared, shared_dir, slices, spread, text_buffers, write_shared
 from .pretokens import encoder
 
-MAGIC = b"SLID\x00\x00\x00\x01"
+MAGIC = b"SLID\x00\x00\x00\x02"
 #: Ids of a file, about: its blocks are coded together, so that larger files take less time for each id and more memory (some 30 bytes an id).
 FILE_IDS = 12_000_000
+#: Distinct pieces of text whose ids a task keeps, some 40 bytes each, and bytes of text that it encodes at once.
+PIECES, ENCODE_BYTES = 1_000_000, 1 << 20
 #: Aimed-for text in one range of documents, in characters, and how many ranges there are at most. A range is written
 #: file by file, so its size does not bound memory.
 RANGE_CHARS, MAX_RANGES = 24 << 20, 50_000
@@ -86,21 +88,23 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 0, id_col:
 
     def run(batches):
         task, files = TaskContext.get().partitionId(), 0
-        encode = encoder(path).encode
+        own = encoder(path)
+        own.limit, encode = PIECES, own.encode
         doc_ids, counts, held, size = [], [], [], 0
         schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64())])
 
         def flush():
             nonlocal doc_ids, counts, held, size, files
             name = f"{folder}/part-{task:06d}-{files:06d}.ids"
-            write_shared(name, pack_file(doc_ids, np.concatenate(counts), np.concatenate(held)))
+            ids, held = np.concatenate(held), []
+            write_shared(name, pack_file(doc_ids, np.concatenate(counts), ids))
             row = pa.RecordBatch.from_pydict({"part": [task], "file": [files], "path": [name], "n_ids": [size]}, schema=schema)
             doc_ids, counts, held, size, files = [], [], [], 0, files + 1
             return row
 
         for b in batches:
             raw, offsets = text_buffers(b.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, ENCODE_BYTES):
                 ids, at = encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 held.append(np.insert(ids, at[1:], end_id))
                 counts.append(np.diff(at) + 1)

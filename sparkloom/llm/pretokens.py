@@ -160,6 +160,7 @@ def forget() -> None:
     """Drop what encoders keep in this worker; operators that encode nothing call it for the memory."""
     encoder.cache_clear()
     tokenizer.cache_clear()
+    piece_tokenizer.cache_clear()
 
 
 @functools.cache
@@ -169,13 +170,33 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def byte_letters() -> np.ndarray:
+    """The letter that a byte-level vocabulary writes for each byte, as UTF-16 units."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = np.zeros(256, "<u2")
+    letters[own] = own
+    letters[np.setdiff1d(np.arange(256), own)] = 256 + np.arange(256 - len(own))
+    return letters
+
+
+@functools.cache
+def piece_tokenizer(path: str):
+    """The library's tokenizer on the same model, for lines of pieces: takes byte letters and divides at line ends only."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    own = Tokenizer(tokenizer(path).model)
+    own.pre_tokenizer = pre_tokenizers.Split(chr(byte_letters()[10]), "isolated")
+    return own
+
+
 class IdEncoder:
     """Ids of whole texts as the tokenizers library gives them, without special tokens added."""
 
     LIMIT = 600_000  # distinct pieces kept, some 40 bytes each; beyond, the memory starts anew
 
     def __init__(self, path: str):
-        self.tok = tokenizer(path)
+        self.tok, self.lines = tokenizer(path), piece_tokenizer(path)
         self.limit = self.LIMIT
         self.newline = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.clear()
@@ -186,13 +207,15 @@ class IdEncoder:
         self.used = self.pieces = 0
         self.off, self.len = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
-    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        """Encode new pieces: those without white space alone in one text, a line each, as a line end never joins its neighbours."""
-        lined = [bool(p.strip()) and (p.isascii() or bool(p.decode().strip())) for p in pieces]
+    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Encode new pieces, those without line ends in one text, a line each; returns their numbers."""
+        lined = [b"\n" not in p for p in pieces]
         split = np.asarray(lined, bool)
+        numbers = np.where(split, np.cumsum(split), len(keys) - np.cumsum(~split[::-1])[::-1] + 1) - 1 + self.pieces
         keys = np.concatenate([keys[split], keys[~split]])
-        text = b"\n".join([p for p, x in zip(pieces, lined, strict=True) if x] + [b""]).decode()
-        ids = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
+        text = np.frombuffer(b"\n".join([p for p, x in zip(pieces, lined, strict=True) if x] + [b""]), np.uint8)
+        text = byte_letters()[text].tobytes().decode("utf-16-le")
+        ids = np.asarray(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
         cut = np.flatnonzero(ids == self.newline)
         if len(cut) != sum(lined):
             raise AssertionError("a piece holds a line end")
@@ -213,12 +236,15 @@ class IdEncoder:
         where = np.searchsorted(self.keys, keys[order])
         self.keys = np.insert(self.keys, where, keys[order])
         self.entry = np.insert(self.entry, where, at + order.astype(np.int32))
+        return numbers
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key's piece, -1 where it is not known."""
         if not len(self.keys):
             return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        order = np.argsort(keys)  # neighbours are searched faster
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.entry[at], -1)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,8 +268,7 @@ class IdEncoder:
             where = np.full(len(distinct), -1, np.int64)
             where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             at = where[new]
-            self._add(distinct[new], [raw[p:q].tobytes() for p, q in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            found = self._find(distinct)
+            found[new] = self._add(distinct[new], [raw[p:q].tobytes() for p, q in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
         entry = found[codes]
         lens = self.len[entry]
         total = np.concatenate([[0], np.cumsum(lens)])

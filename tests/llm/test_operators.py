@@ -471,6 +471,39 @@ def test_order_0_shares_are_those_of_counted_ids(width):
         assert all((f == w).all() for f, w in zip(shares.find(lanes, at), (x, low[t], high[t]), strict=True))
 
 
+def test_coder_carries():
+    """A carry goes through words of ones, in the lane that it is in only."""
+    coder, whole = idcoder._Encoder(2, 20), 1 << idcoder._ALL_BITS
+    for _ in range(3):
+        coder.code(2, np.zeros(2, np.int64), np.full(2, 1 << 10))
+    coder.lo[:] = (1 << 64) - 1, 5  # lane 0 carries into all that it has given
+    coder.words[1 : coder.pos[0]] = 0xFFFF
+    coder.words[1] = 6
+    other = coder.words[20 + 1 : coder.pos[1]].copy()
+    coder.code(2, np.array([whole // 2, 0]), np.array([whole // 4] * 2))
+    zero, one = coder.finish()
+    assert zero[1] == 7 and not zero[2:4].any() and (one[1 : 1 + len(other)] == other).all()
+
+
+def test_coder_round_trips_shapes():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 31, 33, idcoder.BLOCK - 1, idcoder.BLOCK, idcoder.BLOCK + 1, 34 * idcoder.BLOCK + 7):
+        for top in (1, 2, 1000, 65536):
+            ids = np.minimum(r.integers(0, top, n), r.integers(0, top, n)).astype(np.int32)
+            assert (idcoder.decode(idcoder.encode(ids)) == ids).all()
+
+
+def test_new_pieces_keep_their_order():
+    """Pieces with and without line ends are encoded apart; each gets its own number, without the pattern being matched anew."""
+    own = pretokens.IdEncoder(PATH)
+    pieces = [" the", "\n\n", "   ", "Ċ", " \n", "'s", "été", "\t", "\n", "a" * 60, "\u3000", "12"]
+    for part in (pieces[:7], pieces[7:]):
+        keys = np.array([hash(x) & 0xFFFFFFFF for x in part], np.uint64)
+        numbers = own._add(keys, [x.encode() for x in part])
+        assert (own._find(keys) == numbers).all()
+        assert [own.ids[own.off[k] : own.off[k] + own.len[k]].tolist() for k in numbers.tolist()] == [ids_of(x) for x in part]
+
+
 def test_id_files(spark, monkeypatch):
     monkeypatch.setattr(idfiles, "RANGE_CHARS", 100_000)
     docs = odd_docs(spark)
