@@ -32,7 +32,7 @@ MAGIC = b"SLID\x00\x00\x00\x02"
 #: Ids of a file, about: its blocks are coded together, so that larger files take less time for each id and more memory (some 30 bytes an id).
 FILE_IDS = 12_000_000
 #: Distinct pieces of text whose ids a task keeps, some 40 bytes each, and bytes of text that it encodes at once.
-PIECES, ENCODE_BYTES = 1_000_000, 1 << 20
+PIECES, ENCODE_BYTES = 1_800_000, 1 << 20
 #: Aimed-for text in one range of documents, in characters, and how many ranges there are at most. A range is written
 #: file by file, so its size does not bound memory.
 RANGE_CHARS, MAX_RANGES = 24 << 20, 50_000
