@@ -113,3 +113,24 @@ def test_cooccurrence_at_bucket_ends(spark, monkeypatch, how, read):
     want = {(min(r, o), max(r, o)) for g, r, t in rows for h, o, u in rows if g == h and r != o and abs(t - u) <= 600}
     have = list(map(tuple, identity.cooccurrence_pairs(docs, 600, blocks=how).collect()))
     assert sorted(have) == sorted(want) and (50, 51) in want and (50, 52) not in want
+
+
+@pytest.mark.parametrize("read", [blocks.READ, 40])
+@pytest.mark.parametrize("seconds", [600, 4 * 10**12])
+def test_cooccurrence_sends_senders_once_however_many_blocks(spark, monkeypatch, read, seconds):
+    """Each sender of a bucket is written twice, not once a block, and pairs are not shuffled; times before 1970 and long buckets too."""
+    monkeypatch.setattr(blocks, "READ", read)
+    rows = [(f"g{k % 3}" if k % 5 else None, k * k % 101 if k % 7 else None, k * k * 131 % 40000 - 20000) for k in range(900)]
+    docs = spark.createDataFrame(rows, "conversation_id string, sender_ref long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    written, write = [], blocks.near_files
+    monkeypatch.setattr(blocks, "near_files", lambda *a: written.append(write(*a)) or written[0])
+    out = identity.cooccurrence_pairs(docs, seconds, blocks=True)
+    said = [(g or str(r), r, t) for g, r, t in rows if r is not None]
+    want = {(min(r, o), max(r, o)) for g, r, t in said for h, o, u in said if g == h and r != o and abs(t - u) <= seconds}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "Generate" not in plan and "Aggregate" not in plan
+    _, folder, files, parts = written[0]
+    assert (parts > 1) == (read == 40) and len({b for _, b in files}) == 11
+    sent = sum(blocks.pa.ipc.open_file(blocks.read_shared(f"{folder}/{s}-{b}")).read_all().num_rows for s, b in files)
+    assert sent == 2 * len({(g, r, t // seconds) for g, r, t in said})
